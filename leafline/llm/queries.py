@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from leafline.llm.decontaminate import OP5_SQL, op5_decontaminate
+from leafline.llm.rules import OP6_SQL, op6_host_rules
 from leafline.llm.simhash import op1_simhash_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_host_rules": op6_host_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_decontaminate": OP5_SQL,
+    "op6_host_rules": OP6_SQL,
+}
