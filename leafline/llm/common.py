@@ -34,6 +34,34 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(text)
 
 
+#: Columns that a decision is joined by: no nulls, so that plain equality and its partitioning serve.
+KEY = ["__leafline_id", "__leafline_null", "__leafline_text"]
+
+
+def _key(doc_id: Column, text: Column) -> list[Column]:
+    number = doc_id.cast("long")
+    return [
+        F.coalesce(number, F.lit(0).cast("long")).alias(KEY[0]),
+        number.isNull().alias(KEY[1]),
+        text.alias(KEY[2]),
+    ]
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the key of each row beside its columns."""
+    return docs.select("*", *_key(F.col("doc_id"), text_key(text)))
+
+
+def decision_key() -> list[Column]:
+    """The same key from a table of (doc_id, text_key)."""
+    return _key(F.col("doc_id"), F.col("text_key"))
+
+
+def unkeyed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order."""
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

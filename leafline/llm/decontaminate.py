@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import checkpointed, table, text_key
+from leafline.llm.common import KEY, checkpointed, decision_key, keyed, table, text_key, unkeyed
 
 WINDOW = 13
 SHINGLE = 3
@@ -190,19 +190,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows; columns and their order are those of docs."""
-    dirty = (
-        contamination(docs, benchmark)
-        .where("contaminated")
-        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-        .distinct()
-    )
-    rows = docs.withColumn("__row", text_key("text"))
-    kept = rows.join(
-        dirty,
-        rows["doc_id"].cast("long").eqNullSafe(dirty["__id"]) & (rows["__row"] == dirty["__key"]),
-        "left_anti",
-    )
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    dirty = contamination(docs, benchmark).where("contaminated").select(*decision_key()).distinct()
+    return unkeyed(keyed(docs).join(dirty, KEY, "left_anti"), docs)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

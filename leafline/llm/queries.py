@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from leafline.llm.decontaminate import OP5_SQL, op5_decontaminate
+from leafline.llm.mixing import op7_mix_sources
 from leafline.llm.rules import OP6_SQL, op6_host_rules
 from leafline.llm.simhash import op1_simhash_dedup
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_host_rules": op6_host_rules,
+    "op7_mix_sources": op7_mix_sources,
 }
 
 ORACLE_SQL = {

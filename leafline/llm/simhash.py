@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import checkpointed, components, table, text_key
+from leafline.llm.common import KEY, checkpointed, components, decision_key, keyed, table, text_key, unkeyed
 
 SHINGLE = 3
 SEED = 42
@@ -163,13 +163,9 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     stay = found.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(
         F.min(order).alias("first")
     )
-    stay = stay.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
-    kept = docs.withColumn("__row", text_key(text))
-    kept = kept.join(
-        stay, kept["doc_id"].cast("long").eqNullSafe(stay["__id"]) & (kept["__row"] == stay["__key"])
-    )
-    # the join has hashed the rows by both keys, so this needs no further exchange
-    return kept.dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = stay.select("first.doc_id", "first.text_key").select(*decision_key())
+    # the join has hashed the rows by the key, so dropping repeated rows needs no further exchange
+    return unkeyed(keyed(docs, text).join(stay, KEY).dropDuplicates(KEY), docs)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
