@@ -66,9 +66,11 @@ def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     split = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text_key("text").alias("text_key"),
-        F.array_append(plain_words(F.col("text")), "").alias("w"),
+        plain_words(F.col("text")).alias("w"),
     )
-    placed = split.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word"))
+    # an expression, not a column: Spark would infer a filter on a column and make the words twice
+    marked = F.array_append("w", "")
+    placed = split.select("doc_id", "text_key", "w", F.posexplode(marked).alias("pos", "word"))
     end, keys = F.lit(END).cast("long"), [_key(s, F.col("pos")) for s in sizes]
     if len(keys) > 1:
         key = F.explode(F.when(F.col("word") == "", F.array(end)).otherwise(F.array(*keys)))
@@ -121,7 +123,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     prefixes = checkpointed(rarest.select("window_id", "words", "r.offset", "r.key").unionByName(ends))
 
-    start, length, n_words = F.col("pos") - F.col("offset"), F.size("words"), F.size("w") - 1
+    start, length, n_words = F.col("pos") - F.col("offset"), F.size("words"), F.size("w")
     found = [
         positions.join(F.broadcast(part), "key")
         .where((length == 0) == (F.col("word") == ""))
