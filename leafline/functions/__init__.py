@@ -1 +1 @@
-
+"""Scalar functions: columns in, column out."""

@@ -1 +1 @@
-
+"""Operators: data frames in, data frame out."""

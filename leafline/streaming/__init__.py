@@ -1 +1 @@
-
+"""Live views of runs as streaming queries."""
