@@ -1,0 +1,336 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import collections
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from leafline.llm import common, decontaminate, language, lines, mixing, pii, quality, sharding, simhash, tokens
+
+
+def groups(n, links):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return [find(i) for i in range(n)]
+
+
+def plain_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 1])
+def test_simhash_components(spark, prose, crowd, monkeypatch):
+    monkeypatch.setattr(simhash.close_pairs, "__defaults__", (crowd,))
+    rows = prose.select("doc_id", "text").orderBy("doc_id").collect()
+    fps = [plain_simhash(r.text) for r in rows]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    expected = groups(len(fps), links)
+    got = {r.doc_id: r for r in simhash.near_duplicates(prose).collect()}
+    assert [got[i].fp % 2**64 for i in range(len(fps))] == fps
+    assert [got[i].component_id for i in range(len(fps))] == expected
+    assert {r.doc_id for r in simhash.deduplicate(prose).collect()} == set(expected)
+
+
+def test_simhash_blocks_do_not_matter(monkeypatch):
+    text = " ".join(str(i) for i in range(500))
+    whole = simhash.simhash(text)
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert simhash.simhash(text) == whole == plain_simhash(text)
+
+
+def test_components_of_a_chain(spark):
+    order = list(range(200))
+    random.Random(1).shuffle(order)
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(150)] + [(order[160], order[161])], "a long, b long")
+    got = {r.node: r.root for r in common.components(edges).collect()}
+    assert {got[n] for n in order[:151]} == {min(order[:151])}
+    assert got[order[160]] == got[order[161]] == min(order[160:162])
+
+
+def test_languages_held_out(spark):
+    rng = random.Random(4)
+    parts = {"aa": "ka lo mi tu".split(), "bb": "sch ung ein ich".split(), "cc": "eau oui tre ment".split()}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    rows = [(i, text(lang := list(parts)[i % 3], rng.randint(3, 40)), lang) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, ~language.held_out())
+    found = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    held = [r for r in rows if found[r[0]].held_out]
+    assert held and np.mean([found[i].lang_pred == lang for i, _, lang in held]) > 0.97
+    assert not any(r.rejected for r in found.values())
+    far = "жзщф ыюяб " * 100
+    assert model.predict([far, None, "12 !", ""])[0][2] and model.predict([None])[0] == ("und", 0.0, True)
+    assert model.predict(["12 !", ""]) == [("und", 0.0, True)] * 2
+
+
+def test_language_pieces_cover_the_text(monkeypatch):
+    text = "abc déf " * 50
+    whole = language.ngram_counts(text)
+    monkeypatch.setattr(language, "PIECE", 64)
+    assert abs(int(language.ngram_counts(text).sum()) - int(whole.sum())) < 40
+
+
+def test_quality_held_out(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        good = i % 4 != 0
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(5, 60))]
+        rows.append((i, ". ".join(words) if good else "".join(f"{w}### " for w in words)))
+        labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forest = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = {r.doc_id: r for r in quality.scored(docs, forest).collect()}
+    held = [i for i in out if out[i].held_out]
+    assert held and np.mean([out[i].predicted == labels[i][1] for i in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in out.values())
+
+
+def test_forest_walks_like_its_trees():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(400, 5))
+    forest = quality.grow(rows, (rows[:, 0] + rows[:, 1] ** 2 > 0.5).astype(float))
+
+    def walk(row):
+        total = forest.base
+        for t in range(quality.TREES):
+            node = 0
+            while node < 2**quality.DEPTH - 1:
+                node = 2 * node + 1 + int(row[forest.feature[t, node]] > forest.threshold[t, node])
+            total += forest.value[t, node - (2**quality.DEPTH - 1)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(rows), [walk(r) for r in rows])
+
+
+def plain_contamination(texts, items):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: pattern.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = low(text)
+        for i in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[i : i + 13])].add(item)
+    sizes = {len(w) for w in windows}
+    for text in texts:
+        w, hit, found = low(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        yield len(w), len(hit), len(found)
+
+
+def test_contamination(spark, prose, monkeypatch):
+    rows = prose.select("doc_id", "text").orderBy("doc_id").collect()
+    items = [(i, " ".join(rows[i].text.split()[2:18])) for i in range(0, 60, 3)] + [(100, rows[5].text.split()[0]), (101, "É zz")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = list(plain_contamination([r.text for r in rows], items))
+    for most in (decontaminate.BROADCAST_ROWS, 40):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(prose, bench).collect()}
+        assert [got[i] for i in range(len(rows))] == expected
+    kept = {r.doc_id for r in decontaminate.decontaminate(prose, bench).collect()}
+    assert kept == {i for i, (n, hit, _) in enumerate(expected) if not (hit and 20 * hit >= n)}
+
+
+def test_targets_reshare_what_is_above():
+    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
+    assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([30, 120, 60])
+    assert mixing.targets([0, 0], [5, 2]) == [0, 0]
+
+
+def test_mixture(spark, prose):
+    rows = mixing.mixture(prose).collect()
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    sources = {r.doc_id: r.source for r in prose.collect()}
+    for r in rows:
+        s = sources[r.doc_id]
+        size[s] += r.size
+        taken[s] += r.taken
+        target[s] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 1 for s in size) and abs(sum(target.values()) - sum(size.values())) < 1e-6
+    order = sorted((s for s in size if s is not None)) + [None]
+    assert [target[s] for s in order] == pytest.approx(mixing.targets([size[s] for s in order], [5, 2, 1, 5, 2]))
+    mixed = mixing.mix(prose).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(taken.values())
+    assert all(r.n_chars == len(r.text) for r in mixed)
+
+
+def test_schedule_is_even(spark):
+    plan = [("a", 10000, 6000.0, 6000, 100), ("b", 1000, 3000.0, 3000, 10)]
+    rows = mixing.schedule(spark, plan, 100).orderBy("slot").collect()
+    assert collections.Counter(r.source_no for r in rows) == {0: 60, 1: 30}
+    for n in (9, 30, 60):
+        assert abs(sum(r.source_no == 0 for r in rows[:n]) - n * 2 / 3) <= 2
+
+
+def test_packing_is_lossless(spark, prose):
+    rows = tokens.pack(prose, length=64, block_tokens=3000).collect()
+    matrix, pieces = tokens.id_matrix(rows, 64), collections.defaultdict(list)
+    for ids, r in zip(matrix, rows):
+        assert r.position_resets == r.cu_seqlens[:-1] and r.cu_seqlens[-1] == r.n_tokens <= 64
+        for k, (doc, start) in enumerate(zip(r.doc_ids, r.piece_starts)):
+            pieces[doc].append((start, ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]]))
+    decode = tokens.encoding(tokens.TOKENIZER).decode
+    for r in prose.collect():
+        ids = np.concatenate([p for _, p in sorted(pieces[r.doc_id], key=lambda p: p[0])])
+        assert ids[-1] == tokens.END_ID and decode(ids[:-1].tolist()) == r.text
+
+
+def test_best_fit_decreasing_against_a_scan():
+    rng = random.Random(6)
+    for _ in range(200):
+        length = rng.randint(1, 40)
+        sizes = [rng.randint(1, length) for _ in range(rng.randint(0, 50))]
+        got = tokens.best_fit_decreasing(sizes, length)
+        assert sorted(i for s in got for i in s) == list(range(len(sizes)))
+        rooms = []
+        for size in sorted(sizes, reverse=True):
+            fits = [r for r in rooms if r >= size]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - size)
+            else:
+                rooms.append(length - size)
+        assert sorted(length - sum(sizes[i] for i in s) for s in got) == sorted(rooms)
+
+
+def test_long_texts_are_encoded_as_a_whole(monkeypatch):
+    text = "some words, and  more\n\n words é " * 300 + "x" * 500
+    whole = tokens.encode(text)
+    monkeypatch.setattr(tokens, "PIECE", 100)
+    assert (tokens.encode(text) == whole).all()
+
+
+def test_spans_against_patterns():
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def fine(kind, t):
+        digits = re.sub("[^0-9]", "", t)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in t.split("."))
+        if kind == "card":
+            return 14 <= len(digits) <= 19 and pii.luhn(digits)
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    rng = random.Random(8)
+    samples = ["".join(rng.choice("0123459..--  @@++ab(é)") for _ in range(rng.randint(0, 40))) for _ in range(20000)]
+    samples += ["4111 1111 1111 1111 x@y.z.example +1 (555) 555-0100 192.168.0.1.7"]
+    for t in samples:
+        expected = [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, t) if fine(k, m[0])]
+        assert [s for s in pii.spans(t) if s[0] in kinds] == sorted(expected, key=lambda s: (s[1], list(kinds).index(s[0])))
+
+
+def test_added_spans_and_redaction(spark):
+    text = "ftp://me:pw@host.org and IBAN DE89370400440532013000, token = \"0123456789abcdef0123456789abcdef\""
+    assert [s[0] for s in pii.spans(text) if s[0] not in pii.BASE] == ["login", "iban", "secret"]
+    df = spark.createDataFrame([(1, "mail a@b.cc now"), (2, None), (3, "é +1 (555) 555-0100")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {1: "mail <email> now", 2: None, 3: "é <phone>"}
+
+
+def plain_lines(rows):
+    """(doc_id, line_no) cut, by links between all pairs of lines of one block."""
+    found = []
+    for doc, text in rows:
+        for no, line in enumerate(text.split("\n")):
+            w = [x for x in re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", line.lower()) if x]
+            if len(w) >= lines.MIN_WORDS:
+                hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+                found.append((doc, no, " ".join(w), sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(w))))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def linked(a, b):
+        same = sum((a[3] ^ b[3]) >> 16 * i & 0xFFFF == 0 for i in range(4)) >= 2
+        near = same and (a[3] ^ b[3]).bit_count() <= lines.MAX_BITS
+        return a[2] == b[2] or near and distance(a[2], b[2]) <= max(len(a[2]), len(b[2])) * 0.2
+
+    links = [(i, j) for i in range(len(found)) for j in range(i) if linked(found[i], found[j])]
+    found_groups = groups(len(found), links)
+    return {found[i][:2] for i, g in enumerate(found_groups) if g != i}
+
+
+def test_fuzzy_lines(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(4, 40))) for _ in range(25)]
+
+    def variant(line):
+        w = line.split()
+        w[rng.randrange(len(w))] = rng.choice(words)
+        return rng.choice([line, line.upper() + "!", " ".join(w), " ".join(w)])
+
+    rows = [(d, "\n".join(variant(rng.choice(base)) for _ in range(rng.randint(1, 6)))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no) for r in lines.repeated_lines(docs).collect()}
+    assert got == plain_lines(rows)
+    cut = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    for d, text in rows:
+        kept = [x for i, x in enumerate(text.split("\n")) if (d, i) not in got]
+        assert cut[d].text == "\n".join(kept) and cut[d].n_removed == sum(k[0] == d for k in got)
+
+
+def test_long_lines_have_the_same_fingerprint(spark, prose, monkeypatch):
+    once = {(r.doc_id, r.line_no): r.fp for r in lines.line_fingerprints(prose).collect()}
+    monkeypatch.setattr(lines, "LANE_WORDS", 20)
+    assert {(r.doc_id, r.line_no): r.fp for r in lines.line_fingerprints(prose).collect()} == once
+
+
+def test_differencing_balances():
+    rng = random.Random(2)
+    weights = [rng.randint(1, 10**6) for _ in range(3000)]
+    sums = collections.Counter()
+    for w, p in zip(weights, sharding.differencing(weights, 16)):
+        sums[p] += w
+    assert len(sums) == 16 and max(sums.values()) - min(sums.values()) < 100
+    assert sharding.differencing([], 4) == [] and sorted(sharding.differencing([8, 7, 6, 5, 4], 2)) in ([0, 0, 0, 1, 1], [0, 0, 1, 1, 1])
+
+
+def test_shards(spark, prose):
+    rows = sharding.sharded(prose).collect()
+    texts = {r.doc_id: r.text for r in prose.collect()}
+    by_text, slots, sums = collections.defaultdict(set), collections.defaultdict(list), collections.Counter()
+    for r in rows:
+        assert r.size == len(texts[r.doc_id].encode()) + 1
+        by_text[texts[r.doc_id]].add(r.shard)
+        slots[r.shard].append(r.slot)
+        sums[r.shard] += r.size
+    assert all(len(s) == 1 for s in by_text.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(sums) == set(range(16)) and max(sums.values()) - min(sums.values()) <= max(r.size for r in rows)
+
+
+def test_written_shards(spark, prose, tmp_path):
+    sharding.write_shards(prose, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == prose.count() and back.select("shard").distinct().count() == 4
