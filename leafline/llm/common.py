@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one where none is named (tests, one machine)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="leafline-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: smaller than a checkpoint, for wide or long tables.
+
+    The files are removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/leafline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended first
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder and returns a frame that reads it.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only
-    where none is set (tests, one machine) a temporary one is used.
+    The folder is shared_folder().
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafline-checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
