@@ -119,16 +119,18 @@ def normalise_file(x: str | Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(_col(x), "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
 
 
+# The prefixes that titles are compared without.
+TITLE_OUTLINE = "^[IVXLCDM]{2,7}(?:-[A-Z][0-9]*)*[ \\t]+(?=[A-Z0-9])|^[IVXLCDM]{1,7}(?:-[A-Z][0-9]*)+[ \\t]+(?=[A-Z0-9])"
+TITLE_APPENDIX = "^[A-Z][ \\t]+(?=[A-Z0-9])"
+TITLE_NUMBER = r"^(?:[0-9]+(?:\.[0-9]+)*[.)]?|[ivxlcdm]+[.)]|[a-z][.)]|[a-z]\.[0-9]+(?:\.[0-9]+)*[.)]?) +"
+
+
 def normalise_title(x: str | Column) -> Column:
     """Headings for comparison: punctuation folded, numbering and emphasis dropped, lower case."""
     t = strip(F.translate(_col(x), "’‘“”–—‐ ", "''\"\"--- "))
-    t = F.regexp_replace(
-        t, "^[IVXLCDM]{2,7}(?:-[A-Z][0-9]*)*[ \\t]+(?=[A-Z0-9])|^[IVXLCDM]{1,7}(?:-[A-Z][0-9]*)+[ \\t]+(?=[A-Z0-9])", ""
-    )
-    t = F.regexp_replace(t, "^[A-Z][ \\t]+(?=[A-Z0-9])", "")
+    t = F.regexp_replace(F.regexp_replace(t, TITLE_OUTLINE, ""), TITLE_APPENDIX, "")
     t = squeeze(F.regexp_replace(F.lower(t), "[*`]+", ""))
-    numbering = r"^(?:[0-9]+(?:\.[0-9]+)*[.)]?|[ivxlcdm]+[.)]|[a-z][.)]|[a-z]\.[0-9]+(?:\.[0-9]+)*[.)]?) +"
-    t = F.regexp_replace(t, numbering, "")
+    t = F.regexp_replace(t, TITLE_NUMBER, "")
     return F.regexp_replace(t, r"^[ .,:;\-#]+|[ .,:;\-#]+$", "")
 
 

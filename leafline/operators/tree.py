@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions.text import slug, strip
 
+# What a heading line is, and below what a provenance fence is.
 HEADING = r"^(#{1,6})[ \t\x0B\f\r]+(.+)$"
 MAX_LEVEL = 6
 

@@ -27,7 +27,7 @@ def markdown(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, text) of the markdown files below root; the id is the file's stem."""
     files = discover(spark, root)
     stem = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"\.md$", "")
-    return files.select(stem.alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(stem.alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
 
 
 def index_files(spark: SparkSession, path: str) -> DataFrame:
