@@ -30,7 +30,7 @@ MAX_EPOCHS = 3
 BLOCK_WORDS = 4096
 MIN_SLOTS = 256
 #: Rows of a source that are laid out by one task, and slots that are ranked by one.
-RANGE_ROWS = 8192
+RANGE_ROWS = 1024
 STRETCH = 16384
 PHI = (math.sqrt(5) - 1) / 2
 
