@@ -259,8 +259,8 @@ def plain_lines(rows):
         for no, line in enumerate(text.split("\n")):
             w = [x for x in re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", line.lower()) if x]
             if len(w) >= lines.MIN_WORDS:
-                hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-                found.append((doc, no, w, sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(w))))
+                hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(w)]
+                found.append((doc, no, w, sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
 
     def distance(a, b):
         row = list(range(len(b) + 1))
