@@ -227,7 +227,7 @@ def best_sentences(chunks: DataFrame, answers: DataFrame, most: int = 3) -> Data
     place = W.partitionBy("answer_id", "doc_id").orderBy(F.desc("score"), "sentence_no")
     return (
         pairs.select("answer_id", "doc_id", "sentence_no", score.alias("score"))
-        .where("score > 2")
+        .where("score > 0")
         .withColumn("__r", F.row_number().over(place))
         .where(F.col("__r") <= most)
         .drop("__r")
