@@ -7,6 +7,8 @@ are exploded only where they occur in a query; lengths come from the term arrays
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,16 +62,19 @@ def scores(
 
 
 def ranked(
-    items: DataFrame, queries: DataFrame, key: list[str], text: str, order: list[str], scope: list[str] | None = None
-) -> DataFrame:
+    items: DataFrame, queries: DataFrame, key: list[str], text: str, order: list[str], scope: list[str] | None = None,
+    slim: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Every item for every query with its score, 0 without a common term, and 0-based rank, ties in the given order.
 
-    Meant for the candidates of queries, not for a corpus; for the best of a corpus take top().
+    ``slim`` is applied to items with query_id and query before they are ranked; it may drop the wide columns, as all items of
+    a query and scope are sorted in one task. For the best of a corpus take top().
     """
     scope = scope or []
     found = scores(items, queries, key, text, scope)
     # a stated set of queries against all candidates is what a ranking is
-    base = items.crossJoin(F.broadcast(queries.select("query_id")))
+    base = items.crossJoin(F.broadcast(queries.select("query_id", "query")))
+    base = slim(base) if slim else base.drop("query")
     joined = base.join(found, ["query_id", *dict.fromkeys([*scope, *key])], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     place = W.partitionBy("query_id", *scope).orderBy(F.desc(F.round("score", PLACES)), *order)
     return joined.withColumn("rank", F.row_number().over(place) - 1)

@@ -43,9 +43,13 @@ def retrieve(
     else:
         candidates, gone = leaves.withColumn("rehydrated", F.lit(False)), None
     scope = ["doc_id"] if per_document else []
-    listed = ranked(candidates.select(*key, "node_id", "title", "content", "text", "rehydrated"), queries, key, "text", key, scope)
-    listed = listed.join(F.broadcast(queries), "query_id").withColumn("v", judge(F.col("query"), F.col("text")))
-    listed = listed.withColumn("cost", leaf_cost("title", "content")).withColumn("relevant", F.col("v.relevant"))
+
+    def judged(rows: DataFrame) -> DataFrame:
+        said = rows.withColumn("v", judge(F.col("query"), F.col("text"))).withColumn("cost", leaf_cost("title", "content"))
+        return said.withColumn("relevant", F.col("v.relevant")).drop("query", "title", "content", "text")
+
+    wide = candidates.select(*key, "node_id", "title", "content", "text", "rehydrated")
+    listed = ranked(wide, queries, key, "text", key, scope, judged)
     scanned = budget_scan(listed, budget, by=["query_id", *scope])
     verdicts = scanned.select(
         "query_id", *key, "node_id", "status", F.when(F.col("status") != "deferred", F.col("v.reason")).alias("reason"), "rank",

@@ -869,15 +869,8 @@ def _leaf_tree(docs: DataFrame) -> DataFrame:
     )
 
 
-def best_candidates(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
-    """The documents that share a term with the first question, best first: a top-k report."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    best = rank.top(docs, asked(spark).where("query_id = 1"), ["doc_id"], "text", most)
-    return docs.join(best.select("doc_id"), "doc_id", "left_semi")
-
-
 @query()
 def retrieve(spark, sf_dir):
-    """The flagship: rank, judge and admit the best candidates of a question under a token budget."""
-    leaves = _leaf_tree(best_candidates(spark, sf_dir))
+    """The flagship: rank all documents for a question, judge them and admit them under a token budget."""
+    leaves = _leaf_tree(read(spark, sf_dir, "documents"))
     return plans.retrieve(leaves, asked(spark).where("query_id = 1"), budget=6000)

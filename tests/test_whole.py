@@ -1,5 +1,7 @@
 """Queries over all rows and whole texts, against brute force."""
 
+import math
+import random
 import re
 
 from leafline.functions.text import STOPWORDS
@@ -30,3 +32,30 @@ def test_best_sentence(spark, tmp_path):
             expected += [(i, d, n, -score) for score, n in sorted(found)[:3]]
     got = [(r.answer_id, r.doc_id, r.sentence_no, r.score) for r in QUERIES["best_sentence"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_retrieve_gives_every_document_a_verdict(spark, tmp_path):
+    rng = random.Random(3)
+    vocabulary = ["thing", "onth", "ered", "ering", *[f"w{i}" for i in range(30)]]
+    docs = [(d, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(20, 120)))) for d in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = "thing onth ered the ering".replace("the ", "").split()
+    terms = {d: (t + "\n\n" + t).split() for d, t in docs}  # title, no summary, content
+    mean = sum(map(len, terms.values())) / len(terms)
+    df = {q: sum(q in x for x in terms.values()) for q in asked}
+
+    def score(x):
+        tf = {q: x.count(q) for q in asked}
+        return sum(math.log1p((600 - df[q] + 0.5) / (df[q] + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(x) / mean)) for q, n in tf.items() if n)
+
+    order = sorted(docs, key=lambda r: (-round(score(terms[r[0]]), 9), r[0]))
+    expected, used, over = {}, 0, False
+    for rank, (d, t) in enumerate(order):
+        cost = int(len(t + "\n" + t) / 3.4) + 1 + 16
+        fits = len(set(asked) & set(terms[d])) >= 2
+        over = over or rank >= 400 or (fits and used + cost > 6000)
+        used += cost if fits and not over else 0
+        expected[d] = (rank, "deferred" if over else "retrieved" if fits else "rejected", round(score(terms[d]), 4))
+    got = {r.doc_id: (r.rank, r.status, r.score) for r in QUERIES["retrieve"](spark, str(tmp_path)).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[d][:2] == e[:2] and abs(got[d][2] - e[2]) < 2e-4 for d, e in expected.items())
