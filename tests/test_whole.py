@@ -59,3 +59,18 @@ def test_retrieve_gives_every_document_a_verdict(spark, tmp_path):
     got = {r.doc_id: (r.rank, r.status, r.score) for r in QUERIES["retrieve"](spark, str(tmp_path)).collect()}
     assert got.keys() == expected.keys()
     assert all(got[d][:2] == e[:2] and abs(got[d][2] - e[2]) < 2e-4 for d, e in expected.items())
+
+
+def test_mentions_reads_whole_needles(spark, tmp_path):
+    first = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"  # over 60 characters
+    rest = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    needles = [(1, f"{first} {rest}"), (2, "alpha beta"), (3, "a of"), (4, None)]
+    docs = [(1, rest), (2, first), (3, "alpha"), (4, None), (5, f"{rest} alpha")]
+    spark.createDataFrame(needles, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = lambda t: {w for w in re.findall("[a-z0-9]+", (t or "").lower()) if len(w) > 2}
+    expected = {}
+    for i, n in needles:
+        k = sum(2 * len(words(n) & words(h)) >= len(words(n)) > 0 for _, h in docs)
+        expected |= {i: k} if k else {}
+    assert {r.item_id: r.n_docs for r in QUERIES["mentions"](spark, str(tmp_path)).collect()} == expected
