@@ -740,12 +740,12 @@ _PAIR_SQL = """SELECT conv_id, turn, turn % 2 AS side, list_distinct(list_slice(
     (len(a.w) - len(list_intersect(a.w, b.w)))::INTEGER AS n_only_a FROM ({_PAIR_SQL}) a JOIN ({_PAIR_SQL}) b USING (conv_id) WHERE a.side = 0 AND b.side = 1"""
 )
 def pair_drift(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").where("turn < 2")
-    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 12))
-    key = F.col("conv_id").cast("string")
-    records = turns.select(
-        F.when(F.col("turn") == 0, key).alias("id"), F.when(F.col("turn") == 0, "A").otherwise("B").alias("set"),
-        F.when(F.col("turn") == 1, key).alias("pair_id"), words.alias("retrieved"), F.lit(True).alias("gold_retrieved"), F.col("role").alias("label"),
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    even = F.col("turn") % 2 == 0
+    key = F.concat_ws("-", "conv_id", F.col("turn") - F.col("turn") % 2)  # a turn and the odd one after it
+    records = read(spark, sf_dir, "conversations").select(
+        F.when(even, key).alias("id"), F.when(even, "A").otherwise("B").alias("set"), F.when(~even, key).alias("pair_id"),
+        words.alias("retrieved"), F.lit(True).alias("gold_retrieved"), F.col("role").alias("label"),
     )
     drift = evaluate.pair_drift(records)
     return drift.select("pair_id", "same_set", F.round("jaccard", 6).alias("jaccard"), F.size("only_a").alias("n_only_a"))

@@ -74,3 +74,18 @@ def test_mentions_reads_whole_needles(spark, tmp_path):
         k = sum(2 * len(words(n) & words(h)) >= len(words(n)) > 0 for _, h in docs)
         expected |= {i: k} if k else {}
     assert {r.item_id: r.n_docs for r in QUERIES["mentions"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_pair_drift_pairs_all_turns(spark, tmp_path):
+    rng = random.Random(4)
+    letters = ["".join(rng.choice("abc") for _ in range(3)) for _ in range(20)]
+    turns = [(c, t, "r", " ".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))) for c in (1, 2, 31) for t in range(7)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    words = {(c, t): set(x.split()) for c, t, _, x in turns}
+    expected = {}
+    for c, t in words:
+        if t % 2 == 0 and (c, t + 1) in words:
+            a, b = words[c, t], words[c, t + 1]
+            expected[f"{c}-{t}"] = (a == b, round(len(a & b) / len(a | b), 6) if a | b else 1.0, len(a - b))
+    got = {r.pair_id: (r.same_set, r.jaccard, r.n_only_a) for r in QUERIES["pair_drift"](spark, str(tmp_path)).collect()}
+    assert got == expected
