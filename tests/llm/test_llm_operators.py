@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leafline.llm import common, decontaminate, language, lines, mixing, pii, quality, sharding, simhash, tokens
+from leafline.llm import common, decontaminate, language, mixing, pii, quality, sharding, simhash, tokens
 
 
 def groups(n, links):
@@ -252,60 +252,6 @@ def test_added_spans_and_redaction(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {1: "mail <email> now", 2: None, 3: "é <phone>"}
 
 
-def plain_lines(rows):
-    """(doc_id, line_no) cut, by links between all pairs of lines of one block."""
-    found = []
-    for doc, text in rows:
-        for no, line in enumerate(text.split("\n")):
-            w = [x for x in re.split(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", line.lower()) if x]
-            if len(w) >= lines.MIN_WORDS:
-                hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(w)]
-                found.append((doc, no, w, sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    def linked(a, b):
-        same = sum((a[3] ^ b[3]) >> 16 * i & 0xFFFF == 0 for i in range(4)) >= 2
-        near = same and (a[3] ^ b[3]).bit_count() <= lines.MAX_BITS
-        return a[2] == b[2] or near and distance(a[2], b[2]) <= max(len(a[2]), len(b[2])) * 0.2
-
-    links = [(i, j) for i in range(len(found)) for j in range(i) if linked(found[i], found[j])]
-    found_groups = groups(len(found), links)
-    return {found[i][:2] for i, g in enumerate(found_groups) if g != i}
-
-
-def test_fuzzy_lines(spark):
-    rng = random.Random(12)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(60)]
-    base = [" ".join(rng.choice(words) for _ in range(rng.randint(4, 40))) for _ in range(25)]
-
-    def variant(line):
-        w = line.split()
-        w[rng.randrange(len(w))] = rng.choice(words)
-        return rng.choice([line, line.upper() + "!", " ".join(w), " ".join(w)])
-
-    rows = [(d, "\n".join(variant(rng.choice(base)) for _ in range(rng.randint(1, 6)))) for d in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.line_no) for r in lines.repeated_lines(docs).collect()}
-    assert got == plain_lines(rows)
-    cut = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
-    for d, text in rows:
-        kept = [x for i, x in enumerate(text.split("\n")) if (d, i) not in got]
-        assert cut[d].text == "\n".join(kept) and cut[d].n_removed == sum(k[0] == d for k in got)
-
-
-def test_long_lines_have_the_same_fingerprint(spark, prose, monkeypatch):
-    once = {(r.doc_id, r.line_no): r.fp for r in lines.line_fingerprints(prose).collect()}
-    monkeypatch.setattr(lines, "LANE_WORDS", 20)
-    assert {(r.doc_id, r.line_no): r.fp for r in lines.line_fingerprints(prose).collect()} == once
-
-
 def test_differencing_balances():
     rng = random.Random(2)
     weights = [rng.randint(1, 10**6) for _ in range(3000)]
