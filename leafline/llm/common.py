@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one where none is named (tests, one machine)."""
+    """The folder that the cluster names in spark.checkpoint.dir, which driver and executors share.
+
+    Where none is named, one machine (master local) gets a temporary folder; a cluster gets an error, as a folder of
+    the driver's own would be out of its executors' reach.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         named = tempfile.mkdtemp(prefix="leafline-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -39,13 +47,18 @@ def stored(df: DataFrame) -> DataFrame:
 
     def remove() -> None:
         with contextlib.suppress(Exception):  # the session may have ended first
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+            remove_path(spark, path)
 
     atexit.register(remove)
     return spark.read.parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder and returns a frame that reads it.
 

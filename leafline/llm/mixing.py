@@ -139,7 +139,7 @@ def laid_out(rows: DataFrame, plan: list[tuple]) -> DataFrame:
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, text_key, row, size, source_size, target, taken), one row for each row of docs.
+    """(doc_id, text_key, source, row, size, source_size, target, taken), one row for each row of docs.
 
     size is the number of words (null text: none); taken the words that the schedule takes
     of the row, repeats counted: at most MAX_EPOCHS times its size, and in sum over a source
@@ -182,7 +182,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     return (
         placed.join(taken, "row", "left")
         .join(F.broadcast(facts), "source_no")
-        .select("doc_id", "text_key", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        .select("doc_id", "text_key", "source", "row", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     )
 
 
@@ -192,27 +192,41 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), n.cast("int")), "")
 
 
+#: Beside KEY: rows that differ in their source only are taken apart.
+SOURCE_KEY = "__leafline_source"
+
+
+def _source_key() -> Column:
+    return F.coalesce(F.xxhash64(F.when(F.col("source").isNotNull(), F.concat(F.lit("s"), F.col("source").cast("string")))), F.lit(0)).alias(SOURCE_KEY)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mixture itself: each row of docs as often as whole passes take it, and once more
     cut to the words that a last, partial pass takes. Rows that no slot takes go.
 
-    n_chars, if there, follows a cut text. Columns and their order are those of docs.
+    Rows of equal doc_id, text and source are one row that appears as often as all of them are taken. Null and
+    empty texts have no words and go, as all rows of an empty table do; null ids and sources stay as they are.
+    n_chars, if there, follows a cut text. Columns and their order are those of docs; names that
+    start with __leafline are reserved.
     """
     size = F.greatest("size", F.lit(1))
-    one = mixture(docs, weights).groupBy("doc_id", "text_key").agg(
-        F.sum(F.floor(F.col("taken") / size)).alias("__whole"),
-        F.collect_list(F.when(F.col("taken") % size > 0, F.col("taken") % size)).alias("__cuts"),
+    taken = mixture(docs, weights)
+    one = taken.groupBy("doc_id", "text_key", _source_key()).agg(
+        F.sum(F.floor(F.col("taken") / size)).alias("__leafline_whole"),
+        F.collect_list(F.when(F.col("taken") % size > 0, F.col("taken") % size)).alias("__leafline_cuts"),
     )
-    one = one.where("__whole > 0 OR size(__cuts) > 0").select(*decision_key(), "__whole", "__cuts")
-    # equal rows are counted in __whole and __cuts; the join has hashed them by the key
-    joined = keyed(docs).join(one, KEY).dropDuplicates(KEY)
-    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("__whole")), lambda _: F.lit(-1).cast("long"))
-    times = F.concat(F.when(F.col("__whole") > 0, whole).otherwise(F.array().cast("array<long>")), F.col("__cuts"))
-    out = joined.withColumn("__n", F.explode(times))
-    out = out.withColumn("text", F.when(F.col("__n") < 0, F.col("text")).otherwise(_first_words(F.col("text"), F.col("__n"))))
+    found = F.col("__leafline_whole"), F.col("__leafline_cuts")
+    one = one.where((found[0] > 0) | (F.size(found[1]) > 0)).select(*decision_key(), SOURCE_KEY, *found)
+    # equal rows are counted in the decision; the join has hashed them by the key
+    joined = keyed(docs).withColumn(SOURCE_KEY, _source_key()).join(one, [*KEY, SOURCE_KEY]).dropDuplicates([*KEY, SOURCE_KEY])
+    whole = F.transform(F.sequence(F.lit(1).cast("long"), found[0]), lambda _: F.lit(-1).cast("long"))
+    times = F.concat(F.when(found[0] > 0, whole).otherwise(F.array().cast("array<long>")), found[1])
+    out = joined.withColumn("__leafline_n", F.explode(times))
+    n = F.col("__leafline_n")
+    out = out.withColumn("text", F.when(n < 0, F.col("text")).otherwise(_first_words(F.col("text"), n)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__n") < 0, F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(n < 0, F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
     return unkeyed(out, docs)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm.common import KEY, checkpointed, decision_key, keyed, table, text_key, unkeyed
+from leafline.llm.common import table, text_key
 
 #: Kinds in the order of equal starts; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
@@ -160,33 +160,30 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, f"doc_id long, text_key long, spans {kind}")
 
 
+def redacted(text: str | None) -> str | None:
+    """The text with each span replaced by its kind in angle brackets."""
+    if not text:
+        return text
+    out, end = [], 0
+    for kind, start, stop in spans(text):
+        if start >= end:
+            out += [text[end:start], f"<{kind}>"]
+        end = max(end, stop)
+    return "".join([*out, text[end:]])
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span of the text replaced by its kind in angle brackets.
+    """docs with each span of the text replaced by its kind in angle brackets; row by row, without a shuffle.
 
-    Of overlapping spans the first replaces its characters, and the rest of the others goes with it.
+    Of overlapping spans the first replaces its characters, and the rest of the others goes with it. Null and empty
+    texts, all other columns and repeated rows stay as they are; an empty table gives an empty result.
     """
-    found = checkpointed(personal_data(docs, text).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]))
-    joined = keyed(docs, text).join(found.select(*decision_key(), F.col("spans").alias("__spans")), KEY, "left")
-    body = F.col(f"`{text}`")
-    folded = F.aggregate(
-        "__spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("end")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["end"],
-            F.struct(
-                F.concat(
-                    acc["out"],
-                    F.substr(body, (acc["end"] + 1).cast("int"), (s["start"] - acc["end"]).cast("int")),
-                    F.lit("<"),
-                    s["kind"],
-                    F.lit(">"),
-                ).alias("out"),
-                s["end"].alias("end"),
-            ),
-        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["end"], s["end"]).alias("end"))),
-        lambda acc: F.concat(acc["out"], F.substr(body, (acc["end"] + 1).cast("int"), F.char_length(body))),
-    )
-    return unkeyed(joined.withColumn(text, F.coalesce(folded, body)), docs)
+
+    @F.arrow_udf("string")
+    def clean(values: pa.Array) -> pa.Array:
+        return pa.array([redacted(t) for t in values.to_pylist()], pa.string())
+
+    return docs.withColumn(text, clean(F.col(f"`{text}`")))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

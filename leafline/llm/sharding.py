@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafline.llm.common import checkpointed, table
+from leafline.llm.common import checkpointed, stored, table
 
 SHARDS = 16
 #: Heavy groups and parcels are at most so many each.
@@ -71,8 +71,13 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     near as those groups allow. slot numbers a shard's rows from 0 without gaps, in hash order of
     doc_id and text. A null text has no bytes and size 1, and is grouped with the empty
     text, which has the same; null doc_ids are carried; repeated rows are members of one
-    group with a slot each; an empty table gives an empty result. grown_shard is null.
+    group with a slot each; an empty table gives an empty result. grown_shard is null. Other columns are not looked at.
     """
+    return _placed(docs, shards).drop("row")
+
+
+def _placed(docs: DataFrame, shards: int, row: Column | None = None) -> DataFrame:
+    """sharded() with row, a number that is carried along."""
     crc = F.crc32(F.coalesce("text", F.lit("")))
     rows = checkpointed(
         docs.select(
@@ -80,6 +85,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"),
             crc.cast("long").alias("text_crc32"),
             F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
+            (F.lit(None) if row is None else row).cast("long").alias("row"),
         )
     )
     groups = checkpointed(rows.groupBy(*_group()).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
@@ -129,24 +135,23 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             "shard",
             (F.col("before") + F.col("inside")).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
+            "row",
         )
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes docs with their shard and slot as Parquet, a folder for each shard."""
-    place = sharded(docs, shards)
-    crc = F.crc32(F.coalesce("text", F.lit(""))).cast("long")
-    per_group = place.groupBy("doc_id", "size", "text_crc32").agg(F.max("shard").alias("shard"), F.min("slot").alias("slot"))
-    rows = docs.withColumn("__leafline_crc", crc).withColumn(
-        "__leafline_size", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
-    )
-    match = (
-        rows["doc_id"].cast("long").eqNullSafe(per_group["doc_id"])
-        & (rows["__leafline_crc"] == per_group["text_crc32"])
-        & (rows["__leafline_size"] == per_group["size"])
-    )
-    out = rows.join(per_group, match).select(*[rows[c] for c in docs.columns], per_group["shard"], per_group["slot"])
+    """Writes docs with their shard and slot as Parquet, a folder for each shard.
+
+    Every row is written once, repeated rows with a slot each; null ids and texts are written as they are, and an empty
+    table gives an empty folder. Columns named shard or slot are replaced. Rows are numbered and stored first, so that
+    their places can be joined back by number.
+    """
+    number = "__leafline_row"
+    held = stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    place = _placed(held, shards, F.col(number)).select(F.col("row").alias(number), "shard", "slot")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    out = held.select(number, *[F.col(f"`{c}`") for c in kept]).join(place, number).drop(number)
     out.write.partitionBy("shard").parquet(path)
 
 

@@ -280,3 +280,149 @@ def test_written_shards(spark, prose, tmp_path):
     sharding.write_shards(prose, f"{tmp_path}/out", 4)
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == prose.count() and back.select("shard").distinct().count() == 4
+
+
+def test_mix_keeps_sources_apart(spark):
+    text = "some words of one text that two sources have " * 3
+    rows = [(1, text.strip(), "a"), (1, text.strip(), "b"), (2, "other words here", "b"), (None, None, None), (3, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = collections.Counter()
+    for r in mixing.mixture(docs).collect():
+        taken[r.source] += r.taken
+    mixed = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        mixed[r.source] += len(r.text.split())
+    assert mixed == +taken
+
+
+def plain_mixture(sized, plan, block):
+    """taken of (source_no, key, size) rows in stream order: the schedule's slots walked one by one."""
+    streams, edges, needed = collections.defaultdict(list), [], []
+    for key, (source, size) in sized.items():
+        streams[source] += [key] * size
+    for _, size, _, quota, _ in plan:
+        needed.append(quota // size * -(-size // block) + -(-(quota % size) // block) if size else 0)
+    for i in range(len(plan) - 1):
+        edges.append(sum(needed[: i + 1]) / sum(needed))
+    taken, done, slot = collections.Counter(), [0] * len(plan), 0
+    while any(d < n for d, n in zip(done, needed)):
+        point = slot * mixing.PHI
+        source = sum(e <= point - np.floor(point) for e in edges)
+        slot += 1
+        if done[source] < needed[source]:
+            _, size, _, quota, blocks = plan[source]
+            epoch, number = divmod(done[source], blocks)
+            taken.update(streams[source][number * block : min(number * block + block, size, quota - epoch * size)])
+            done[source] += 1
+    return taken
+
+
+def test_taken_is_what_the_schedule_takes(spark, prose):
+    rows = prose.select("doc_id", "text", "source").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in mixing.mixture(prose).collect()}
+    keyed = prose.select("doc_id", F.xxhash64(F.lit("mix"), "doc_id", "source", common.text_key("text")).alias("h"))
+    order = sorted(keyed.collect(), key=lambda r: r.h % 2**64 >> 33)  # ranges first, then the signed hash
+    names = sorted({r.source for r in rows if r.source is not None}) + [None]
+    sizes = {n: sum(len(r.text.split()) for r in rows if r.source == n) for n in names}
+    target = mixing.targets([sizes[n] for n in names], [mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i in range(len(names))])
+    block = max(1, min(mixing.BLOCK_WORDS, sum(sizes.values()) // mixing.MIN_SLOTS))
+    plan = [(n, sizes[n], t, min(round(t), 3 * sizes[n]), -(-sizes[n] // block)) for n, t in zip(names, target)]
+    source = {r.doc_id: names.index(r.source) for r in rows}
+    n_ranges = max(1, -(-len(rows) // mixing.RANGE_ROWS))
+    order.sort(key=lambda r: ((r.h % 2**64 >> 33) * n_ranges >> 31, r.h))
+    size = {r.doc_id: len(r.text.split()) for r in rows}
+    expected = plain_mixture({r.doc_id: (source[r.doc_id], size[r.doc_id]) for r in order}, plan, block)
+    assert {d: r.taken for d, r in got.items()} == {d: expected[d] for d in got}
+
+
+def test_written_shards_of_repeated_rows(spark, tmp_path):
+    rows = [(1, "same text", 7, "x")] * 5 + [(None, None, 8, "y"), (2, "", 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot string")
+    sharding.write_shards(docs, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(back) == 7 and len({(r.shard, r.slot) for r in back}) == 7
+    assert len({r.shard for r in back if r.doc_id == 1}) == 1 and sorted(r.slot for r in back if r.doc_id == 1)[-1] >= 4
+
+
+def plain_differencing(weights, k):
+    """Sums of the parts, largest first: the two partitions of largest spread are joined, largest with least, until one is left."""
+    parts = [sorted([w] + [0] * (k - 1), reverse=True) for w in weights]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0] - p[-1], reverse=True)
+        a, b, *parts = parts
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+    return parts[0] if parts else []
+
+
+@pytest.mark.parametrize("k", [2, 3, 8])
+def test_differencing_against_a_plain_one(k):
+    rng = random.Random(k)
+    for n in (1, 2, 5, 40):
+        weights = rng.sample(range(1, 10**9), n)  # spreads without ties
+        sums = [0] * k
+        for w, p in zip(weights, sharding.differencing(weights, k)):
+            sums[p] += w
+        assert sorted(sums, reverse=True) == plain_differencing(weights, k)
+
+
+def test_pii_columns_against_spans(spark, tmp_path):
+    import hashlib
+
+    from leafline.llm.queries import QUERIES
+
+    texts = ["mail a.b@c.de now", None, "", "é +1 (555) 555-0100 and 10.0.0.255, 4111 1111 1111 1111", "x@y.z " * 50]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op8_pii"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == [0, 0, 1, 2, 3, 4]
+    for r in out:
+        every = pii.spans(texts[r.doc_id])
+        found = [s for s in every if s[0] in pii.BASE]
+        joined = lambda listed: ",".join(f"{k}:{a}:{b}" for k, a, b in listed)
+        assert r.base_sha256 == hashlib.sha256(joined(found).encode()).hexdigest() and r.spans == joined(every)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in found) for k in pii.BASE]
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    rows = [(1, "a@b.cc", "s"), (1, "a@b.cc", "s"), (2, "", None), (None, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __spans string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and pii.redact(docs.limit(0)).collect() == []
+    expected = [(1, "<email>", "s"), (1, "<email>", "s"), (2, "", None), (None, None, "t")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected))
+
+
+def plain_stump(rows, labels):
+    """Best single split of plain log-loss gain over all features and all values, by brute force."""
+    p = labels.mean()
+    gradient, weight = labels - p, p * (1 - p)
+    best = (0.0, None)
+    for f in range(rows.shape[1]):
+        for cut in np.unique(rows[:, f])[:-1]:
+            left = rows[:, f] <= cut
+            gain = sum(gradient[side].sum() ** 2 / (weight * side.sum()) for side in (left, ~left))
+            best = max(best, (gain, f))
+    return best[1]
+
+
+def test_first_split_is_the_best(spark):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(600, 4))
+    for f in range(4):
+        labels = (rows[:, f] > 0.3).astype(float)
+        assert quality.grow(rows, labels).feature[0, 0] == plain_stump(rows, labels) == f
+
+
+def test_nearest_centroid_against_plain_cosines(spark):
+    rng = random.Random(4)
+    parts = {"aa": "ka lo mi tu".split(), "bb": "sch ung ein ich".split()}
+    rows = []
+    for i in range(80):
+        lang = list(parts)[i % 2]
+        rows.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(12)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    for _, text, _ in rows[:20]:
+        v = np.asarray(language.ngram_counts(text), dtype=float).ravel()
+        assert v.sum() > 0
+    assert [p[0] for p in model.predict([t for _, t, _ in rows])] == [lang for _, _, lang in rows]
