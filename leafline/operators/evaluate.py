@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafline.store import before, stored
+
 # How a gold leaf can end a run.
-OUTCOMES = "retrieved rejected pruned deferred deferred_judged_relevant error untouched".split()
+OUTCOMES = ["retrieved", "rejected", "pruned", "deferred", "deferred_judged_relevant", "error", "untouched"]
 KS = (1, 3, 5, 10, 20, 50)
 
 
@@ -155,16 +157,20 @@ def totals(calls: DataFrame) -> DataFrame:
 def derange(queries: DataFrame, order: str = "pos") -> DataFrame:
     """(id, donor): for each query the next in cyclic order whose retrieved set lacks its gold, the next one if none does.
 
-    queries are (id, pos, gold, retrieved array); a stated evaluation set, so it is joined with itself.
+    queries are (id, pos, gold, retrieved array). A query meets only the donors that hold its gold: the steps to those are
+    counted from 1, and the first step that is missing among them is taken.
     """
-    nth = F.row_number().over(W.orderBy(order)) - 1
-    known = queries.withColumn("i", nth)
-    size = queries.count()
-    donors = known.select(F.col("id").alias("donor"), F.col("i").alias("j"), F.col("retrieved").alias("donated"))
-    pairs = known.join(F.broadcast(donors), F.col("i") != F.col("j")).select(
-        "id", "donor", F.pmod(F.col("j") - F.col("i"), F.lit(size)).alias("step"), F.array_contains("donated", F.col("gold")).alias("spoiled")
-    )
-    return pairs.groupBy("id").agg(F.min_by("donor", F.struct("spoiled", "step")).alias("donor"))
+    known = stored(before(queries, [], [F.col(order), F.col("id")], F.lit(1), "i"))
+    size = known.count()
+    holders = known.select(F.explode(F.array_distinct("retrieved")).alias("gold"), F.col("i").alias("j"))
+    spoiled = known.select("id", "i", "gold").join(holders, "gold").where("i != j")
+    spoiled = spoiled.select("id", "i", F.pmod(F.col("j") - F.col("i"), F.lit(size)).alias("step"))
+    nth = F.row_number().over(W.partitionBy("i").orderBy("step"))
+    run = spoiled.withColumn("nth", nth).where("nth = step").groupBy("i").agg(F.max("step").alias("run"))
+    first = F.coalesce(F.col("run") + 1, F.lit(1))
+    step = F.when(first < size, first).otherwise(1)
+    places = known.join(run, "i", "left").select("id", F.pmod(F.col("i") + step, F.lit(size)).alias("j"))
+    return places.join(known.select(F.col("i").alias("j"), F.col("id").alias("donor")), "j").where("id != donor").select("id", "donor")
 
 
 def validate_queries(queries: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafline.store import stored
+
 FORMAT_VERSION = 2
 PROMPT_VERSION = 2003
 
@@ -76,5 +78,6 @@ def summarise(
         fresh = joined.where("__old IS NULL").withColumn("summary", summariser(F.col("summary_input"))).withColumn("reused", F.lit(False))
         kept = joined.where("__old IS NOT NULL").withColumn("summary", F.col("__old")).withColumn("reused", F.lit(True))
         out = fresh.unionByName(kept).withColumn("summary_source", F.lit("llm")).drop("__old")
+        out = stored(out)  # a model is asked once, and the plan of a level does not hold those of the levels below
         done = out if done is None else done.unionByName(out)
     return done if done is not None else tree

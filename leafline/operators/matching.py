@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions.text import normalise_file, quote_is_verbatim
+from leafline.store import stored
+
+#: Keys of needles up to which they are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def match_documents(named: DataFrame, docs: DataFrame) -> DataFrame:
@@ -82,3 +86,45 @@ def disambiguate(ids: DataFrame, nodes: DataFrame) -> DataFrame:
     fits = ids.join(nodes.select("doc_id", "node_id").distinct(), "node_id", "left")
     order = F.struct(~F.coalesce(F.col("doc_id") == F.col("preferred"), F.lit(False)), "doc_id")
     return fits.groupBy("id", "node_id").agg(F.min_by("doc_id", order).alias("doc_id"))
+
+
+def _candidates(docs: DataFrame, words: Column, keys: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of documents that have a key (item_id, word) among their words."""
+    hint = F.broadcast if keys.count() <= BROADCAST_KEYS else (lambda df: df)
+    return docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(hint(keys), "word").select("doc_id", "item_id").distinct()
+
+
+def _longest(words: Column) -> Column:
+    """Words from the longest on, which are the rarest as a rule."""
+    sized = F.transform(words, lambda w: F.struct(-F.char_length(w), w.alias("w")))
+    return F.transform(F.array_sort(sized), lambda x: x["w"])
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of docs (doc_id, body) whose body contains an item's needle (item_id, needle) as it stands.
+
+    The inner words of a needle must be words of the body, so documents meet only items whose longest inner word they
+    have. Needles of one or two words have none; they are compared with all documents, as a stated set of queries.
+    Null bodies and needles contain nothing; an empty needle is in every body.
+    """
+    split = items.where("needle IS NOT NULL").withColumn("words", F.split("needle", " "))
+    inner = F.slice("words", F.lit(2), F.greatest(F.size("words") - 2, F.lit(0)))
+    keyed = split.withColumn("word", F.get(_longest(F.filter(inner, lambda w: w != "")), F.lit(0)))
+    keys = stored(keyed.where("word IS NOT NULL").select("item_id", "word"))
+    found = _candidates(docs, F.split("body", " "), keys)
+    long = found.join(docs, "doc_id").join(items, "item_id").where(F.contains("body", "needle")).select("doc_id", "item_id")
+    short = keyed.where("word IS NULL").select("item_id", "needle")
+    return long.unionByName(docs.crossJoin(short).where(F.contains("body", "needle")).select("doc_id", "item_id"))
+
+
+def mentioned(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of docs (doc_id, h) that have at least half of an item's distinct words (item_id, n).
+
+    A document with r of k words has one of any k - r + 1 of them, so documents meet only items of whose longest
+    words, that many, they have one.
+    """
+    enough = F.ceil(F.size("n") / 2)
+    prefix = F.slice(_longest(F.col("n")), F.lit(1), (F.size("n") - enough + 1).cast("int"))
+    keys = stored(items.where(F.size("n") > 0).select("item_id", F.explode(prefix).alias("word")))
+    both = _candidates(docs, F.col("h"), keys).join(docs, "doc_id").join(items, "item_id")
+    return both.where(2 * F.size(F.array_intersect("n", "h")) >= F.size("n")).select("doc_id", "item_id")

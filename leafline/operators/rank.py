@@ -7,13 +7,12 @@ are exploded only where they occur in a query; lengths come from the term arrays
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions.text import tokenize
+from leafline.store import before, stored
 
 K1, B = 1.5, 0.75
 #: Scores that agree to so many places are ties: sums depend on the order of their terms.
@@ -36,56 +35,49 @@ def scores(
     a query repeats counts as often. An item's length is its number of terms.
     """
     scope = scope or []
+    own = list(dict.fromkeys([*scope, *key]))
     asked = queries.select("query_id", F.explode(tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    wanted = asked.select("term").distinct()
-    small = asked.count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else (lambda df: df)
-    listed = items.select(*dict.fromkeys([*scope, *key]), tokenize(text).alias("__terms"))
-    sized = listed.withColumn("__dl", F.size("__terms"))
-    totals = sized.groupBy(*scope).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avgdl"))
-    tf = (
-        sized.select(*dict.fromkeys([*scope, *key]), "__dl", F.explode("__terms").alias("term"))
-        .join(hint(wanted), "term")
-        .groupBy(*dict.fromkeys([*scope, *key]), "__dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    asked = stored(asked)
+    hint = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda df: df)
+    # each item also carries one mark, the empty term, so that one pass over the texts gives lengths and counts
+    wanted = asked.select("term").distinct().unionByName(items.sparkSession.createDataFrame([("",)], "term string"))
+    listed = items.select(*own, F.explode(F.array(tokenize(text))).alias("__terms"))
+    sized = listed.select(*own, F.size("__terms").alias("__dl"), F.explode(F.array_append("__terms", F.lit(""))).alias("term"))
+    tf = stored(sized.join(hint(wanted), "term").groupBy(*own, "__dl", "term").agg(F.count("*").alias("tf")))
+    marks, tf = tf.where("term = ''"), tf.where("term != ''")
+    totals = marks.groupBy(*scope).agg(F.sum("tf").alias("__n"), (F.sum(F.col("__dl") * F.col("tf")) / F.sum("tf")).alias("__avgdl"))
     df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     joined = tf.join(df, [*scope, "term"])
     joined = joined.join(totals, scope) if scope else joined.crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log1p((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("__dl") / F.col("__avgdl")))
-    return (
-        joined.join(hint(asked), "term")
-        .groupBy("query_id", *dict.fromkeys([*scope, *key]))
-        .agg(F.sum(weight * F.col("qn")).alias("score"))
-    )
+    return joined.join(hint(asked), "term").groupBy("query_id", *own).agg(F.sum(weight * F.col("qn")).alias("score"))
 
 
 def ranked(
-    items: DataFrame, queries: DataFrame, key: list[str], text: str, order: list[str], scope: list[str] | None = None,
-    slim: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """Every item for every query with its score, 0 without a common term, and 0-based rank, ties in the given order.
+    items: DataFrame, queries: DataFrame, key: list[str], text: str, order: list[str], scope: list[str] | None = None
+) -> DataFrame:
+    """(query_id, scope, key, order, score, rank) of every item for every query, 0 without a common term; ties in the given order.
 
-    ``slim`` is applied to items with query_id and query before they are ranked; it may drop the wide columns, as all items of
-    a query and scope are sorted in one task. For the best of a corpus take top().
+    Ranks count from 0. Rows are slim and dealt by ranges of the score, so no task holds a whole query.
     """
     scope = scope or []
+    own = list(dict.fromkeys([*scope, *key]))
     found = scores(items, queries, key, text, scope)
     # a stated set of queries against all candidates is what a ranking is
-    base = items.crossJoin(F.broadcast(queries.select("query_id", "query")))
-    base = slim(base) if slim else base.drop("query")
-    joined = base.join(found, ["query_id", *dict.fromkeys([*scope, *key])], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    place = W.partitionBy("query_id", *scope).orderBy(F.desc(F.round("score", PLACES)), *order)
-    return joined.withColumn("rank", F.row_number().over(place) - 1)
+    base = items.select(*dict.fromkeys([*own, *order])).crossJoin(F.broadcast(queries.select("query_id")))
+    joined = base.join(found, ["query_id", *own], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    place = [F.desc(F.round("score", PLACES)), *[F.col(c) for c in order]]
+    return before(joined, ["query_id", *scope], place, F.lit(1), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def top(items: DataFrame, queries: DataFrame, key: list[str], text: str, k: int, scope: list[str] | None = None) -> DataFrame:
-    """(query_id, scope, key, score, rank) of the k best with a score; ties by key."""
+    """(query_id, scope, key, score, rank) of the k best with a score; ties by key. Each task keeps its own k best first."""
     scope = scope or []
     place = W.partitionBy("query_id", *scope).orderBy(F.desc(F.round("score", PLACES)), *key)
     found = scores(items, queries, key, text, scope).where("score > 0")
-    return found.withColumn("rank", F.row_number().over(place) - 1).where(F.col("rank") < k)
+    best = found.withColumn("__nth", F.row_number().over(place)).where(F.col("__nth") <= k)
+    return best.withColumn("rank", F.col("__nth") - 1).drop("__nth")
 
 
 def rescue(dropped: DataFrame, queries: DataFrame, key: list[str], text: str, most: int = 5) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions.text import slug, strip
+from leafline.store import before
 
 # What a heading line is, and below what a provenance fence is.
 HEADING = r"^(#{1,6})[ \t\x0B\f\r]+(.+)$"
@@ -185,13 +186,12 @@ def with_ancestors(tree: DataFrame) -> DataFrame:
 def leaves(tree: DataFrame) -> DataFrame:
     """Leaves with their order in the corpus: documents by id, then tree order.
 
-    The order is a rank within the document plus the leaves of the documents before, so only
-    one row for each document meets in one task.
+    The order is a rank within the document plus the leaves of the documents before.
     """
     own = tree.where("is_leaf").withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("node_seq")) - 1)
     counts = own.groupBy("doc_id").agg(F.count("*").alias("n"))
-    before = counts.select("doc_id", (F.sum("n").over(W.orderBy("doc_id")) - F.col("n")).alias("before"))
-    return own.join(before, "doc_id").withColumn("order", F.col("before") + F.col("nth")).drop("before", "nth")
+    earlier = before(counts, [], [F.col("doc_id")], F.col("n"), "before").drop("n")
+    return own.join(earlier, "doc_id").withColumn("order", F.col("before") + F.col("nth")).drop("before", "nth")
 
 
 def leaf_counts(tree: DataFrame) -> DataFrame:

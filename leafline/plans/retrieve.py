@@ -7,10 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions.text import leaf_cost, ranking_text
-from leafline.operators.budget import budget_scan
+from leafline.operators.budget import MAX_EVALS, budget_scan
 from leafline.operators.prune import survivors
 from leafline.operators.rank import ranked, rescue
 from leafline.plans.judge import Judge, lexical_judge
+from leafline.store import stored
+
+#: Leaves that are judged before the budget is looked at again.
+EVAL_BLOCK = 100
 
 
 def select_sections(tree: DataFrame, query: Column, judge: Judge) -> DataFrame:
@@ -21,14 +25,14 @@ def select_sections(tree: DataFrame, query: Column, judge: Judge) -> DataFrame:
 
 def retrieve(
     tree: DataFrame, queries: DataFrame, budget: int, judge: Judge | None = None, selected: DataFrame | None = None,
-    per_document: bool = False, most_rescued: int = 5,
+    per_document: bool = False, most_rescued: int = 5, max_evals: int = MAX_EVALS,
 ) -> DataFrame:
     """(query_id, doc_id, node_seq, node_id, status, reason, rank, score, rehydrated, judged_relevant, source_no).
 
     tree has title, summary, content, is_leaf, depth and ancestors. One query at a time is pruned
     if ``selected`` is given (doc_id, node_seq, reason), otherwise all leaves are candidates. Leaves that pruning
     dropped come back if they are among the best of their document. Ranks and the budget
-    span the corpus, or each document. Sources are numbered in tree order.
+    span the corpus, or each document; what comes after the budget's end or max_evals is deferred and not judged. Sources are numbered in tree order.
     """
     judge = judge or lexical_judge()
     leaves = tree.where("is_leaf").withColumn("text", ranking_text("title", "summary", "content"))
@@ -44,16 +48,16 @@ def retrieve(
         candidates, gone = leaves.withColumn("rehydrated", F.lit(False)), None
     scope = ["doc_id"] if per_document else []
 
-    def judged(rows: DataFrame) -> DataFrame:
-        said = rows.withColumn("v", judge(F.col("query"), F.col("text"))).withColumn("cost", leaf_cost("title", "content"))
-        return said.withColumn("relevant", F.col("v.relevant")).drop("query", "title", "content", "text")
-
-    wide = candidates.select(*key, "node_id", "title", "content", "text", "rehydrated")
-    listed = ranked(wide, queries, key, "text", key, scope, judged)
-    scanned = budget_scan(listed, budget, by=["query_id", *scope])
-    verdicts = scanned.select(
-        "query_id", *key, "node_id", "status", F.when(F.col("status") != "deferred", F.col("v.reason")).alias("reason"), "rank",
-        F.round("score", 4).alias("score"), "rehydrated", "judged_relevant",
+    wide = stored(candidates.select(*key, "node_id", "title", "content", "text", "rehydrated"))
+    by = ["query_id", *scope]
+    listed = stored(ranked(wide, queries, key, "text", key, scope).select("query_id", *key, "rank", "score"))
+    scanned = budget_scan(_judged(wide, listed, queries, key, judge, by, budget, max_evals), budget, by=by, max_evals=max_evals)
+    scanned = scanned.select("query_id", *key, "status", F.col("v.reason").alias("reason"), "judged_relevant")
+    named = listed.join(wide.select(*key, "node_id", "rehydrated"), key).join(scanned, ["query_id", *key], "left")
+    status = F.coalesce("status", F.lit("deferred"))
+    verdicts = named.select(
+        "query_id", *key, "node_id", status.alias("status"), F.when(status != "deferred", F.col("reason")).alias("reason"), "rank",
+        F.round("score", 4).alias("score"), "rehydrated", F.coalesce("judged_relevant", F.lit(False)).alias("judged_relevant"),
     )
     if gone is not None:
         lost = gone.crossJoin(F.broadcast(queries.select("query_id"))).select(
@@ -62,8 +66,34 @@ def retrieve(
             F.lit(False).alias("judged_relevant"),
         )
         verdicts = verdicts.unionByName(lost)
-    order = W.partitionBy("query_id", F.col("status") == "retrieved").orderBy(*key)
-    return verdicts.withColumn("source_no", F.when(F.col("status") == "retrieved", F.row_number().over(order)))
+    verdicts = stored(verdicts)
+    # sources are few: what a budget holds
+    order = W.partitionBy("query_id").orderBy(*key)
+    sources = verdicts.where("status = 'retrieved'").select("query_id", *key, F.row_number().over(order).alias("source_no"))
+    return verdicts.join(sources, ["query_id", *key], "left")
+
+
+def _judged(
+    wide: DataFrame, listed: DataFrame, queries: DataFrame, key: list[str], judge: Judge, by: list[str], budget: int, max_evals: int
+) -> DataFrame:
+    """The best of listed (rank) with v, relevant and cost, judged a block of ranks at a time until each budget is passed.
+
+    What the judge says is stored, so it is asked once about a leaf, and not about leaves behind the end of a budget. At most
+    max_evals leaves of a query are judged.
+    """
+    out, still = None, None
+    for first in range(0, max_evals, EVAL_BLOCK):
+        block = listed.where((F.col("rank") >= first) & (F.col("rank") < min(first + EVAL_BLOCK, max_evals)))
+        block = block if still is None else block.join(still, by, "left_semi")
+        texts = block.join(wide, key).join(F.broadcast(queries.select("query_id", "query")), "query_id")
+        said = texts.withColumn("v", judge(F.col("query"), F.col("text"))).withColumn("cost", leaf_cost("title", "content"))
+        said = stored(said.select("query_id", *key, "rank", "v", F.col("v.relevant").alias("relevant"), "cost"))
+        out = said if out is None else out.unionByName(said)
+        used = out.groupBy(*by).agg(F.sum(F.when(F.col("relevant"), F.col("cost"))).alias("used"), F.max("rank").alias("last"))
+        still = used.where((F.coalesce("used", F.lit(0)) <= budget) & (F.col("last") == first + EVAL_BLOCK - 1)).select(*by)
+        if still.isEmpty():
+            break
+    return out
 
 
 def passages(sources: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions import parsing, text
-from leafline.operators import budget, evaluate, facets, index, layout, manifest, prune, rank, tree
+from leafline.operators import budget, evaluate, facets, index, layout, manifest, matching, prune, rank, tree
 from leafline.plans import retrieve as plans
 from leafline.streaming import runlog
 
@@ -101,16 +101,14 @@ def first25_summary(spark, sf_dir):
 @query(
     f"""SELECT item_id, count(*) AS n_docs FROM (
       SELECT item_id, n, list_intersect(n, h) AS b
-      FROM (SELECT item_id, {content_sql("text[1:60]")} AS n FROM benchmark)
+      FROM (SELECT item_id, {content_sql("text")} AS n FROM benchmark)
       CROSS JOIN (SELECT {content_sql("text")} AS h FROM documents))
     WHERE len(n) > 0 AND 2 * len(b) >= len(n) GROUP BY item_id"""
 )
 def mentions(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(text.content_words("text").alias("h"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.content_words("text").alias("h"))
     needles = read(spark, sf_dir, "benchmark").select("item_id", text.content_words("text").alias("n"))
-    pairs = docs.crossJoin(F.broadcast(needles))  # a stated query set against all rows
-    fits = (F.size("n") > 0) & (2 * F.size(F.array_intersect("n", "h")) >= F.size("n"))
-    return pairs.where(fits).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return matching.mentioned(docs, needles).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
 _NORM_SQL = r"lower(trim(regexp_replace(translate(coalesce({0}, ''), '“”‘’–—', '""' || repeat(chr(39), 2) || '--'), '[ \t\n\x0B\f\r]+', ' ', 'g')))"
@@ -122,8 +120,8 @@ _NORM_SQL = r"lower(trim(regexp_replace(translate(coalesce({0}, ''), '“”‘
 )
 def quote_verbatim(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", text.normalise_quote("text").alias("body"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", text.normalise_quote("text").alias("quote"))
-    return docs.join(F.broadcast(items), F.contains("body", "quote")).select("doc_id", "item_id")
+    items = read(spark, sf_dir, "benchmark").select("item_id", text.normalise_quote("text").alias("needle"))
+    return matching.contained(docs, items)
 
 
 _RATES = {
@@ -306,7 +304,8 @@ y AS (SELECT "set", rank FROM x UNION ALL SELECT 'all', rank FROM x)"""
 )
 def recall_at_k(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    gold = docs.select("doc_id", "text").join(F.broadcast(items.select("item_id", F.col("text").alias("t"))), F.contains("text", "t"))
+    needles = items.select("item_id", F.col("text").alias("needle"))
+    gold = matching.contained(docs.select("doc_id", F.col("text").alias("body")), needles)
     top = _benchmark_ranks(spark, sf_dir, 50).withColumnRenamed("query_id", "item_id")
     found = gold.select("item_id", "doc_id").join(top, ["item_id", "doc_id"]).groupBy("item_id").agg((F.min("rank") + 1).alias("rank"))
     named = items.select("item_id", F.when(F.col("item_id") % 2 == 0, "A").otherwise("B").alias("set"))
@@ -429,11 +428,15 @@ def facet_any(spark, sf_dir):
 
 
 @query(
-    """SELECT d.doc_id, quality IS NULL AS unjudged FROM documents d LEFT JOIN labels l USING (doc_id)
-    WHERE quality IS NULL OR quality = 0 OR toxic = 1"""
+    """WITH f AS (SELECT doc_id::VARCHAR AS leaf, 'quality' AS q, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS answer FROM labels
+      UNION ALL SELECT doc_id::VARCHAR, 'tone', CASE WHEN toxic = 1 THEN 'toxic' ELSE 'civil' END FROM labels WHERE quality = 1),
+    picked AS (SELECT * FROM (VALUES ('quality', 'good'), ('quality', 'bad'), ('tone', 'civil')) p(q, answer)),
+    asked AS (SELECT d.doc_id, p.q, count(f.answer) AS stored, count(f.answer) FILTER (f.answer = p.answer) AS fits
+      FROM documents d CROSS JOIN picked p LEFT JOIN f ON f.leaf = d.doc_id::VARCHAR AND f.q = p.q GROUP BY ALL)
+    SELECT doc_id, sum(stored) = 0 AS unjudged FROM asked GROUP BY doc_id HAVING bool_and(fits > 0 OR stored = 0)"""
 )
 def facet_all(spark, sf_dir):
-    picked = ["good", "bad", "toxic"]
+    picked = ["good", "bad", "civil"]
     out = facets.select_leaves(_facet_leaves(spark, sf_dir), _facets(spark, sf_dir), picked, _QUESTIONS, "all")
     return out.where("kept").select("doc_id", "unjudged")
 
@@ -648,7 +651,7 @@ def events_by_hour(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS marks FROM events GROUP BY user_id")
 def live_status_stream(spark, sf_dir):
-    """The same view from a stream that is drained into memory."""
+    """The same view from a stream that is drained into the shared store."""
     files = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(files.schema).option("pathGlobFilter", "*.parquet").parquet(_folder_of(sf_dir, "events"))
     view = runlog.last_statuses(stream, ["user_id"], ["ts", "event_id"], "event_type")
@@ -731,13 +734,13 @@ def budget_matched_k(spark, sf_dir):
     return evaluate.budget_matched_k(_records(spark, sf_dir))
 
 
-_PAIR_SQL = """SELECT conv_id, turn, turn % 2 AS side, list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 12)) AS w FROM conversations WHERE turn < 2"""
+_PAIR_SQL = """SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations"""
 
 
 @query(
-    f"""SELECT a.conv_id::VARCHAR AS pair_id, len(list_intersect(a.w, b.w)) = len(a.w) AND len(a.w) = len(b.w) AS same_set,
+    f"""SELECT a.conv_id::VARCHAR || '-' || a.turn AS pair_id, len(list_intersect(a.w, b.w)) = len(a.w) AND len(a.w) = len(b.w) AS same_set,
     round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6) AS jaccard,
-    (len(a.w) - len(list_intersect(a.w, b.w)))::INTEGER AS n_only_a FROM ({_PAIR_SQL}) a JOIN ({_PAIR_SQL}) b USING (conv_id) WHERE a.side = 0 AND b.side = 1"""
+    (len(a.w) - len(list_intersect(a.w, b.w)))::INTEGER AS n_only_a FROM ({_PAIR_SQL}) a JOIN ({_PAIR_SQL}) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0"""
 )
 def pair_drift(spark, sf_dir):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))

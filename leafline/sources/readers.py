@@ -89,10 +89,14 @@ def label_pins(docs: DataFrame) -> DataFrame:
     return pins.select("doc_id", labels.alias("label"), "pin_id").where("label != ''")
 
 
-def narration(lines: DataFrame) -> DataFrame:
-    """(line_no, line, case_id): log lines (line_no, line) with the case of the result line that follows them."""
+def narration(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, line_no, line, case_id): log lines (line_no, line) with the case of the result line that follows them.
+
+    ``by`` names the columns of a log, such as its file. Within a log, result lines are numbered from the end, and a line
+    belongs to the one before it in that order.
+    """
     from pyspark.sql import Window as W
 
     found = F.nullif(F.regexp_extract("line", r"^\[([A-Z][0-9]+)\]", 1), F.lit(""))
-    after = W.orderBy("line_no").rowsBetween(0, W.unboundedFollowing)
-    return lines.withColumn("case_id", F.first(found, ignorenulls=True).over(after))
+    backwards = W.partitionBy(*(by or [])).orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)
+    return lines.withColumn("case_id", F.last(found, ignorenulls=True).over(backwards))

@@ -6,13 +6,17 @@ exactly one status, and progress is derived from the states rather than counted.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from leafline.store import folder
+
 # States that end a node's run.
-TERMINAL = "kept pruned retrieved rejected deferred error".split()
+TERMINAL = ["kept", "pruned", "retrieved", "rejected", "deferred", "error"]
 
 LOG_SCHEMA = T.StructType(
     [
@@ -60,10 +64,24 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour"
 
 
 def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drains what is there of a stream into a memory table and returns it."""
-    query: StreamingQuery = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drains what is there of a stream into Parquet and returns it: the last state, or all rows in append mode.
+
+    Each batch writes its own folder in the shared store, so the state never passes the driver.
+    """
+    spark, at = df.sparkSession, f"{folder(df.sparkSession)}/leafline-stream-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch-{number}")
+        batches.append(number)
+
+    stream = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    query: StreamingQuery = stream.foreachBatch(write).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    kept = batches[-1:] if mode == "complete" else batches
+    if not kept:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{at}/batch-{n}" for n in kept])
 
 
 def single_fingerprint(log: DataFrame) -> DataFrame:
