@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the ranking tokeniser.
-STOPWORDS = (
-    "a an and are as at be by for from has have how in is it its of on or that the "
-    "to was were what when where which who why will with"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "how", "in", "is", "it", "its", "of", "on",
+    "or", "that", "the", "to", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with",
+]
 
 CHARS_PER_TOKEN = 3.4
 WHITE = r"[ \t\n\x0B\f\r]"

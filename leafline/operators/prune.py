@@ -59,7 +59,7 @@ def drop_empty(tree: DataFrame) -> DataFrame:
 
 
 #: Which of a node's states the reader shows, first wins.
-DISPLAY_ORDER = "expected-hit expected-miss retrieved kept pruned deferred error rejected internal neutral".split()
+DISPLAY_ORDER = ["expected-hit", "expected-miss", "retrieved", "kept", "pruned", "deferred", "error", "rejected", "internal", "neutral"]
 
 
 def display_status(states: DataFrame) -> DataFrame:
@@ -67,3 +67,26 @@ def display_status(states: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(s) for s in DISPLAY_ORDER]), F.col("status"))
     known = states.where(place > 0)
     return known.groupBy("doc_id", "node_seq").agg(F.min_by("status", place).alias("status"))
+
+
+def parse_selection(batches: DataFrame, children: DataFrame) -> DataFrame:
+    """(parent, node_id, reason, errored): what the replies (parent, batch, reply) keep of children (parent, batch, node_id).
+
+    A reply lists ids, or objects with an id and a reason. An id of another batch of the same parent is taken as well, an unknown
+    one is dropped. A reply that holds no list keeps its whole batch, as pruning on a failed call would lose content.
+    """
+    from leafline.functions.parsing import json_of
+    from leafline.functions.text import clean_node_id
+
+    parsed = batches.withColumn("__items", F.from_json(json_of(F.col("reply")), "array<string>"))
+    item = F.col("__item")
+    told = F.startswith(item, F.lit("{"))
+    ids = F.when(told, F.get_json_object(item, "$.id")).otherwise(item)
+    reason = F.coalesce(F.trim(F.when(told, F.get_json_object(item, "$.reason"))), F.lit(""))
+    named = parsed.where("__items IS NOT NULL").select("parent", F.posexplode("__items").alias("__no", "__item"))
+    named = named.select("parent", "__no", clean_node_id(ids).alias("node_id"), reason.alias("reason"))
+    known = named.join(children.select("parent", "node_id").distinct(), ["parent", "node_id"])
+    whole = children.join(parsed.where("__items IS NULL").select("parent", "batch"), ["parent", "batch"])
+    failed = whole.select("parent", "node_id", F.lit(-1).alias("__no"), F.lit("Kept after a failed selection call").alias("reason"))
+    both = known.select("parent", "node_id", "__no", "reason").unionByName(failed)
+    return both.groupBy("parent", "node_id").agg(F.max_by("reason", "__no").alias("reason"), (F.max("__no") < 0).alias("errored"))

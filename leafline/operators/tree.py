@@ -110,6 +110,20 @@ def pin_map(body: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def pin_values(body: Column) -> Column:
+    """The pin's map with typed values: text as it stands, whole and number where it reads as one, list and rows for JSON arrays."""
+
+    def typed(_: Column, v: Column) -> Column:
+        flat = F.when(v.startswith("["), F.from_json(v, "array<double>"))
+        rows = F.when(v.startswith("[["), F.from_json(v, "array<array<double>>"))
+        whole = F.when(v.rlike("^[+-]?[0-9]+$"), v.try_cast("bigint"))
+        number = F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double"))
+        flat = F.when(rows.isNull(), flat)
+        return F.struct(v.alias("text"), whole.alias("whole"), number.alias("number"), flat.alias("list"), rows.alias("rows"))
+
+    return F.transform_values(pin_map(body), typed)
+
+
 def nodes(docs: DataFrame, text: str = "text") -> DataFrame:
     """The tree of each document.
 

@@ -197,7 +197,10 @@ def grounding(spark, sf_dir):
     return spark.createDataFrame(_ANSWERS, "id int, t string, n int").select("id", text.grounding_status("t", "n").alias("status"))
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES (1, 'see [1] and [2, 3].', 'sufficient', 'sufficient', []::VARCHAR[]), (2, 'none [9]', 'insufficient', 'insufficient', ['dose', 'age']),
+    (3, NULL, 'missing', 'sufficient', []), (4, NULL, 'missing', 'sufficient', [])) v(id, short_answer, label, ui_reading, still_needed)"""
+)
 def answer_sections(spark, sf_dir):
     rows = spark.createDataFrame(_ANSWERS, "id int, t string, n int").withColumn("s", parsing.sections_of(F.col("t")))
     raw = F.element_at("s", "evidence_sufficient")
@@ -215,13 +218,17 @@ def clean_node_id(spark, sf_dir):
     return spark.createDataFrame(raw, "id int, raw string").select("id", text.clean_node_id("raw").alias("node_id"))
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES (1, '{"quote": "the \\"global\\" survey", "relevant": true}'), (2, '[{"id": "a"}]'), (3, '["a", "b"]'), (4, NULL)) v(id, value)"""
+)
 def json_repair(spark, sf_dir):
     raw = [(1, '{"quote": "the "global" survey", "relevant": true}'), (2, '```json\n[{"id": "a"}]\n```'), (3, '{"keep": ["a", "b"'), (4, "<think>x</think>nothing")]
     return spark.createDataFrame(raw, "id int, raw string").select("id", parsing.json_of(F.col("raw")).alias("value"))
 
 
-@query()
+@query(
+    r"""SELECT id, replace(m, '/', chr(10)) AS markdown FROM (VALUES (1, '| a | b |/| --- | --- |/| 1\|2 | x |/|  | y |'), (2, '')) v(id, m)"""
+)
 def html_table(spark, sf_dir):
     raw = [(1, "<table><tr><th>a</th><th>b</th></tr><tr><td rowspan=2>1|2</td><td>x</td></tr><tr><td>y</td></tr></table>"), (2, "no table")]
     return spark.createDataFrame(raw, "id int, html string").select("id", parsing.markdown_of(F.col("html")).alias("markdown"))
@@ -369,13 +376,27 @@ def child_batches(spark, sf_dir):
     return budget.child_batches(read(spark, sf_dir, "documents"), 5, ["source"], ["doc_id"]).select("doc_id", "batch")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {EST_SQL.format("text")} + 8 AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    r AS (SELECT conv_id, turn, i, 0::BIGINT AS batch, c::BIGINT AS used, 1::BIGINT AS n FROM t WHERE i = 1
+      UNION ALL SELECT t.conv_id, t.turn, t.i, r.batch + CASE WHEN r.used + t.c > 200 OR r.n >= 3 THEN 1 ELSE 0 END,
+        CASE WHEN r.used + t.c > 200 OR r.n >= 3 THEN 0 ELSE r.used END + t.c, CASE WHEN r.used + t.c > 200 OR r.n >= 3 THEN 0 ELSE r.n END + 1
+      FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)
+    SELECT conv_id, turn, batch FROM r"""
+)
 def packed_batches(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").withColumn("cost", text.estimate_tokens("text") + 8)
     return budget.packed_batches(turns, 3, 200, "cost", ["conv_id"], "turn")
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE s AS (SELECT conv_id, turn, length(text)::DOUBLE AS c, (2 * len(regexp_split_to_array(trim(text), '[ \n]+')))::DOUBLE AS t FROM conversations),
+    u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM s WHERE c > 0 AND t > 0),
+    r AS (SELECT conv_id, 0::BIGINT AS i, 3.4::DOUBLE AS ratio, 0::DOUBLE AS error FROM u GROUP BY conv_id
+      UNION ALL SELECT u.conv_id, u.i, greatest(2::DOUBLE, least(5::DOUBLE, (r.ratio * 0.8::DOUBLE + u.c / u.t * 0.2::DOUBLE) * 0.93::DOUBLE)),
+        r.error + abs(greatest(1::DOUBLE, floor(u.c / r.ratio) + 1) - u.t) / u.t FROM r JOIN u ON u.conv_id = r.conv_id AND u.i = r.i + 1)
+    SELECT conv_id, round(arg_max(ratio, i), 3) AS ratio, max(i) AS n, round(arg_max(error, i) / max(i), 4) AS mean_abs_error FROM r GROUP BY conv_id"""
+)
 def token_calibration(spark, sf_dir):
     words = F.size(F.split(F.trim("text"), "[ \n]+"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("chars"), (words * 2).alias("tokens"))
@@ -818,7 +839,17 @@ def validate_queries(spark, sf_dir):
     return evaluate.validate_queries(rows, leaves)
 
 
-@query()
+@query(
+    rf"""WITH parts AS (SELECT doc_id, string_split(regexp_replace(text, '([.;:])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+    split AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS no FROM parts),
+    found AS (SELECT doc_id, no, list_distinct(regexp_extract_all(sentence, '[0-9]+(?:[.][0-9]+)?')) AS nums, regexp_matches(sentence, '[0-9]') AS digit,
+      list_distinct(list_filter(regexp_extract_all(lower(sentence), '[a-z]{{3,}}'), lambda w: NOT list_contains({STOP_SQL}, w))) AS words FROM split),
+    asked AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS nums,
+      list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: NOT list_contains({STOP_SQL}, w))) AS words FROM benchmark),
+    scored AS (SELECT item_id, doc_id, no, 4 * len(list_intersect(f.nums, a.nums)) + len(list_intersect(f.words, a.words)) + CASE WHEN digit THEN 2 ELSE 0 END AS score FROM found f CROSS JOIN asked a),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, no) AS nth FROM scored WHERE score > 0)
+    SELECT item_id AS answer_id, doc_id, no::INTEGER AS sentence_no, score::INTEGER AS score FROM r WHERE nth <= 3"""
+)
 def best_sentence(spark, sf_dir):
     answers = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
     chunks = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -853,7 +884,10 @@ def union_boxes(spark, sf_dir):
     return layout.union_boxes(_regions(spark, sf_dir), ["doc_id", "page"])
 
 
-@query()
+@query(
+    """SELECT doc_id, n, level, confidence FROM (VALUES (1), (2)) d(doc_id) CROSS JOIN (VALUES (0, 1, 'high'), (1, 2, 'high'), (2, 3, 'low'), (3, 4, 'low'), (4, 5, 'low'),
+    (5, 3, 'low'), (6, 1, 'high'), (7, 3, 'high'), (8, NULL, 'none')) v(n, level, confidence)"""
+)
 def heading_levels(spark, sf_dir):
     titles = ["1 Intro", "1.1 Why", "A. Case", "i) one", "ii) two", "B. Case", "2 Method", "2.1.3 Deep", "Results"]
     rows = [(d, i, t) for d in (1, 2) for i, t in enumerate(titles)]
@@ -872,7 +906,20 @@ def _leaf_tree(docs: DataFrame) -> DataFrame:
     )
 
 
-@query()
+_FLAGSHIP_SQL = f"""WITH leaf AS ({LEAF_SQL}), top AS ({_bm25_sql("SELECT doc_id, title || chr(10) || chr(10) || content AS text FROM (" + LEAF_SQL + ")", "0", 1 << 60, ASKED_SQL.split(" UNION ALL ")[0])}),
+j AS (SELECT l.doc_id, coalesce(top.score, 0) AS score, {_COST_LEAF} AS cost, list_distinct({terms_sql("'" + ASKED[0][1] + "'")}) AS qd,
+  {terms_sql("title || chr(10) || content")} AS terms FROM leaf l LEFT JOIN top ON top.doc_id = l.doc_id),
+k AS (SELECT doc_id, score, cost, len(qd) AS n, len(list_intersect(qd, list_distinct(terms))) AS both_n FROM j),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank, 2 * both_n >= n AS rel FROM k),
+s AS (SELECT *, sum(CASE WHEN rel THEN cost ELSE 0 END) OVER (ORDER BY rank) AS run, count(*) OVER () AS n_all FROM r),
+u AS (SELECT *, min(CASE WHEN rel AND run > 6000 THEN rank END) OVER () AS cut FROM s),
+v AS (SELECT *, CASE WHEN cut IS NOT NULL AND cut < 400 THEN cut WHEN n_all >= 400 THEN 400 ELSE n_all END AS lim FROM u)
+SELECT 1 AS query_id, doc_id, 0 AS node_seq, doc_id::VARCHAR AS node_id, CASE WHEN rank >= lim THEN 'deferred' WHEN rel THEN 'retrieved' ELSE 'rejected' END AS status,
+  CASE WHEN rank < lim THEN 'shares ' || both_n || ' of ' || n || ' terms' END AS reason, rank::INTEGER AS rank, round(score, 4) AS score, false AS rehydrated,
+  coalesce(rank = cut AND cut < 400, false) AS judged_relevant, CASE WHEN rank < lim AND rel THEN row_number() OVER (PARTITION BY rank < lim AND rel ORDER BY doc_id) END::INTEGER AS source_no FROM v"""
+
+
+@query(_FLAGSHIP_SQL)
 def retrieve(spark, sf_dir):
     """The flagship: rank all documents for a question, judge them and admit them under a token budget."""
     leaves = _leaf_tree(read(spark, sf_dir, "documents"))
