@@ -176,3 +176,31 @@ def report_lines(title: str, facts: DataFrame, label: str, value: str) -> DataFr
 def prompt_files(prompts: DataFrame) -> DataFrame:
     """(name, prompt, sha256) of prompts (id, prompt), one file for each."""
     return prompts.select(F.concat("id", F.lit(".txt")).alias("name"), "prompt", F.sha2("prompt", 256).alias("sha256"))
+
+
+def suggestions(cases: DataFrame, text: str = "", group: str | None = None, n: int = 8) -> DataFrame:
+    """The first n of cases (id, pos, question, category) whose question has the text or whose id is it, of one category if given."""
+    q = F.lit(text.strip().lower())
+    fits = (q == "") | F.contains(F.lower("question"), q) | (F.lower("id") == q)
+    return cases.where(fits & (F.lit(True) if group is None else F.col("category") == group)).orderBy("pos", "id").limit(n)
+
+
+def evidence_groups(messages: DataFrame) -> DataFrame:
+    """(chat_id, answer_id, label, query, status, n_sources) of a chat's answers: messages (chat_id, pos, id, role, query, status, sources).
+
+    Answers without an id don't count; those without sources do.
+    """
+    answers = messages.where("role = 'assistant' AND id IS NOT NULL")
+    nth = F.row_number().over(W.partitionBy("chat_id").orderBy("pos"))
+    return answers.select(
+        "chat_id", F.col("id").alias("answer_id"), F.concat(F.lit("Answer "), nth).alias("label"), "query",
+        F.coalesce("status", F.lit("not_connected")).alias("status"), F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"),
+    )
+
+
+def preflight(state: dict, allow_busy: bool = False) -> list[str]:
+    """What speaks against a measured run: a stale index, no fingerprint, the sufficiency check turned off, another run."""
+    problems = [f"index is stale for {state['stale_docs']}"] if state.get("stale_docs") else []
+    problems += [] if state.get("fingerprint") else ["index has no fingerprint"]
+    problems += [] if state.get("completeness_check", True) else ["completeness check is off"]
+    return problems + (["another run is under way"] if state.get("busy") and not allow_busy else [])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafline.functions import parsing, text
-from leafline.operators import evaluate, layout, prune, reports, tree
+from leafline.operators import evaluate, ingest, layout, prune, reports, tree
 from leafline.queries import _PAIR_SQL, _RECORD_SQL, _UP_SQL, STOP_SQL, _records, _tree, query, read
 
 # ---- report sections ------------------------------------------------------------------------
@@ -323,3 +323,103 @@ def heading_levels_of_nations(spark, sf_dir):
     both = F.array(F.concat("i", F.lit(". "), "n_name"), F.concat("i", F.lit(".1 Part of "), "n_name"))
     titles = rows.select(F.col("n_regionkey").alias("doc_id"), "n_nationkey", F.posexplode(both).alias("k", "title"))
     return layout.heading_levels(titles.select("doc_id", (F.col("n_nationkey") * 2 + F.col("k")).cast("long").alias("n"), "title")).select("doc_id", "n", "level")
+
+
+# ---- from blocks to documents ---------------------------------------------------------------
+
+#: Customers as blocks of a document for each nation: every fourth is a title, of level 1 or 2 in turns, some without a level.
+_BLOCK_SQL = """SELECT *, is_title AND level IS NOT NULL AS head FROM (
+    SELECT c_nationkey AS doc_id, c_custkey AS n, (c_custkey % 3)::INTEGER AS page, (c_custkey % 7)::DOUBLE AS y0, c_custkey % 4 = 0 AS is_title,
+    CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE ((c_custkey // 4) % 2 + 1)::INTEGER END AS level, c_name AS text FROM customer)"""
+#: Their leaves with text.
+_CONTENT_SQL = f"""WITH b AS ({_BLOCK_SQL}), m AS (
+    SELECT *, max(CASE WHEN head THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS section, bool_or(head) OVER (PARTITION BY doc_id) AS headed,
+    min(CASE WHEN head AND page = 0 THEN y0 END) OVER (PARTITION BY doc_id) AS top FROM b),
+  own AS (SELECT doc_id, section, string_agg(text, ' ' ORDER BY n) AS content FROM m
+    WHERE NOT head AND NOT (headed AND (section IS NULL OR coalesce(page = 0 AND y0 < top, false))) GROUP BY ALL),
+  heads AS (SELECT doc_id, n AS section, text AS title, level, coalesce(lead(level) OVER (PARTITION BY doc_id ORDER BY n) > level, false) AS inside FROM b WHERE head)
+  SELECT o.doc_id, title, (coalesce(level, 1) + coalesce(inside, false)::INTEGER)::INTEGER AS heading_level, coalesce(inside, false) AS synthetic, content
+  FROM own o LEFT JOIN heads h ON o.doc_id = h.doc_id AND o.section = h.section"""
+
+
+def _content(spark, sf_dir) -> DataFrame:
+    key = F.col("c_custkey")
+    level = F.when(key % 20 != 0, (F.floor(key / 4) % 2 + 1).cast("int"))
+    blocks = read(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("doc_id"), key.alias("n"), (key % 3).cast("int").alias("page"), (key % 7).cast("double").alias("y0"),
+        (key % 4 == 0).alias("is_title"), level.alias("level"), F.col("c_name").alias("text"),
+    )
+    return ingest.content_tree(blocks)
+
+
+@query(_CONTENT_SQL)
+def content_leaves(spark, sf_dir):
+    return _content(spark, sf_dir).where("is_leaf").select("doc_id", "title", "heading_level", "synthetic", "content")
+
+
+@query(f"SELECT doc_id, sum(length(content))::BIGINT AS n_content, count(*) AS n_leaves FROM ({_CONTENT_SQL}) GROUP BY doc_id")
+def tree_markdown_lengths(spark, sf_dir):
+    made = ingest.tree_markdown(_content(spark, sf_dir))
+    body = F.filter(F.split("markdown", "\n"), lambda x: ~x.startswith("#") & (x != ""))
+    return made.select("doc_id", F.aggregate(body, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_content"), F.size(body).cast("long").alias("n_leaves"))
+
+
+@query(
+    """WITH c AS (SELECT c_nationkey AS doc_id, count(*) AS k FROM customer GROUP BY 1)
+    SELECT n_nationkey AS doc_id, (CASE WHEN k IS NULL THEN -1 WHEN n_nationkey % 4 = 3 THEN 0 WHEN n_nationkey % 4 = 0 THEN 1
+      WHEN n_nationkey % 2 = 0 THEN 4 ELSE 5 END)::INTEGER AS rung,
+    (CASE WHEN k IS NULL THEN 0 WHEN n_nationkey % 4 = 3 THEN 1 ELSE k END)::INTEGER AS n_headings
+    FROM nation LEFT JOIN c ON n_nationkey = doc_id"""
+)
+def ladder_rungs(spark, sf_dir):
+    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    kind = F.col("c_nationkey") % 4
+    title = F.when(kind == 0, F.concat("c_custkey", F.lit(".1 "), "c_name")).otherwise(F.concat(F.lit("About "), "c_name"))
+    heads = customer.select(
+        F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("n"), title.alias("title"), (F.col("c_custkey") % 3 + 9).cast("double").alias("size"), F.lit(4).alias("weight")
+    )
+    doc_id = F.col("n_nationkey").alias("doc_id")
+    outlines = nation.select(
+        doc_id, F.when(F.col("n_nationkey") % 4 == 3, "full").otherwise("titles_only").alias("verdict"), F.array(F.struct(F.col("n_name").alias("title"), F.lit(0).alias("level"))).alias("entries")
+    )
+    per = heads.groupBy("doc_id").agg(F.count("*").cast("int").alias("k"))
+    reply = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.array_repeat(F.lit(2), F.col("k")))).otherwise("no idea")
+    out = ingest.ladder(nation.select(doc_id), heads, outlines, per.select("doc_id", reply.alias("reply")))
+    return out.select("doc_id", "rung", F.coalesce(F.size("headings"), F.lit(0)).alias("n_headings"))
+
+
+@query(
+    """SELECT p_partkey AS n, CASE WHEN icon THEN 'Likely icons/broken infographics' WHEN n_real < 2 THEN NULL WHEN kinds > 1 THEN 'Figures and tables'
+      WHEN tables > 0 THEN 'Tables' ELSE 'Figures' END AS "group", (CASE WHEN icon OR n_real < 2 THEN 3 ELSE 4 END)::INTEGER AS heading_level
+    FROM (SELECT p_partkey, section, icon, t.n_real, t.kinds, t.tables FROM (SELECT *, p_partkey // 3 AS section, p_size % 5 = 0 AS icon FROM part) p
+      JOIN (SELECT p_partkey // 3 AS section, count(*) FILTER (p_size % 5 != 0) AS n_real, count(DISTINCT p_size % 2) FILTER (p_size % 5 != 0) AS kinds,
+        count(*) FILTER (p_size % 5 != 0 AND p_size % 2 = 0) AS tables FROM part GROUP BY 1) t USING (section))"""
+)
+def asset_groups(spark, sf_dir):
+    size = F.col("p_size")
+    assets = read(spark, sf_dir, "part").select(
+        F.lit(0).alias("doc_id"), F.floor(F.col("p_partkey") / 3).alias("section"), F.lit(2).alias("level"), F.col("p_partkey").alias("n"),
+        F.when(size % 2 == 0, "table").otherwise("figure").alias("type"), (size % 5 == 0).alias("is_icon"),
+    )
+    return ingest.asset_groups(assets).select("n", "group", "heading_level")
+
+
+@query(
+    """SELECT conv_id AS chat_id, conv_id || '-' || turn AS answer_id, 'Answer ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS label,
+    CASE WHEN turn % 3 = 1 THEN 'grounded' ELSE 'not_connected' END AS status, (turn % 3)::INTEGER AS n_sources FROM conversations WHERE role = 'assistant'"""
+)
+def evidence_groups(spark, sf_dir):
+    third = F.col("turn") % 3
+    sources = F.filter(F.array(F.lit(1), F.lit(2)), lambda x: x <= third)
+    rows = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("chat_id"), F.col("turn").alias("pos"), F.concat_ws("-", "conv_id", "turn").alias("id"), "role", F.col("text").alias("query"),
+        F.when(third == 1, "grounded").alias("status"), F.when(third > 0, sources).alias("sources"),
+    )
+    return reports.evidence_groups(rows).drop("query")
+
+
+@query("""SELECT p_partkey AS id, p_name AS question FROM part WHERE contains(lower(p_name), 'e') AND p_size % 2 = 0 ORDER BY p_retailprice, p_partkey LIMIT 8""")
+def suggestions(spark, sf_dir):
+    even = F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd")
+    cases = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("pos"), F.col("p_name").alias("question"), even.alias("category"))
+    return reports.suggestions(cases, " E ", "even").select("id", "question")

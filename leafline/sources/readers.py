@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.operators.layout import SESSION_SCHEMA
+
 QUERY_SCHEMA = "id string, set string, pair_id string, doc string, node_id string, question string, edit_term string"
 MANIFEST_SCHEMA = (
     "doc_id string, title string, rel_path string, source_path string, sha256 string, tags array<string>, "
@@ -100,3 +102,21 @@ def narration(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     found = F.nullif(F.regexp_extract("line", r"^\[([A-Z][0-9]+)\]", 1), F.lit(""))
     backwards = W.partitionBy(*(by or [])).orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)
     return lines.withColumn("case_id", F.last(found, ignorenulls=True).over(backwards))
+
+
+def sessions(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, document, regions) of annotation sessions: folders below root, or root itself, that hold final_state.json.
+
+    doc_id is the folder's path below root, "" for root, below which then nothing else counts. Hidden folders are skipped, unreadable files are null.
+    """
+    found = discover(spark, root, "final_state.json")
+    own = found.where("rel_path = 'final_state.json'")
+    found = found if own.isEmpty() else own
+    state = F.from_json(F.decode("content", "UTF-8"), SESSION_SCHEMA)
+    return found.select(F.regexp_replace("rel_path", "/?final_state\\.json$", "").alias("doc_id"), state.alias("s")).select("doc_id", "s.*")
+
+
+def recognised(files: DataFrame, cache: DataFrame, config: str) -> tuple[DataFrame, DataFrame]:
+    """files (path, sha256, ...) with the blocks that cache (sha256, config, blocks) has for them under config, and those without."""
+    known = cache.where(F.col("config") == config).groupBy("sha256").agg(F.max("blocks").alias("blocks"))
+    return files.join(known, "sha256"), files.join(known, "sha256", "left_anti")
