@@ -8,6 +8,7 @@ window over a document's lines in order; there is no recursion and no self-join.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -281,6 +282,45 @@ def nested_json(tree: DataFrame) -> DataFrame:
     )
 
 
+NODE_SCHEMA = (
+    "node_seq int, parent_seq int, node_id string, title string, heading_level int, line_idx int, is_leaf boolean, synthetic boolean, "
+    "parent_title string, content string, summary string"
+)
+
+
+def from_json(files: DataFrame) -> DataFrame:
+    """(doc_id, NODE_SCHEMA) of files (doc_id, nodes): nested JSON as nested_json or an index file has it, numbered in preorder.
+
+    Missing fields are null (synthetic: false, summary: ""); null, broken or empty JSON gives no nodes.
+    """
+    import json
+
+    def flat(text: str | None) -> list[dict]:
+        try:
+            top = json.loads(text or "[]")
+        except ValueError:
+            return []
+        rows: list[dict] = []
+        waiting = [(node, None) for node in reversed(top)] if isinstance(top, list) else []
+        while waiting:
+            node, parent = waiting.pop()
+            below, seq = node.get("children") or [], len(rows)
+            row = {"node_seq": seq, "parent_seq": parent, "node_id": node.get("nodeId"), "title": node.get("title")}
+            row |= {"heading_level": node.get("headingLevel"), "line_idx": node.get("lineIdx"), "is_leaf": not below}
+            row |= {"synthetic": bool(node.get("synthetic")), "parent_title": node.get("parentTitle")}
+            rows.append(row | {"content": node.get("content"), "summary": node.get("summary") or ""})
+            waiting += [(child, seq) for child in reversed(below)]
+        return rows
+
+    @F.arrow_udf(f"array<struct<{NODE_SCHEMA.replace(' ', ':').replace(',:', ', ')}>>")
+    def read(texts: pa.Array) -> pa.Array:
+        kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+        fields = [(name, kinds[kind]) for name, kind in (f.split() for f in NODE_SCHEMA.split(", "))]
+        return pa.array([flat(t) for t in texts.to_pylist()], pa.list_(pa.struct(fields)))
+
+    return files.select("doc_id", F.explode(read(F.col("nodes"))).alias("n")).select("doc_id", "n.*")
+
+
 # ---- HTML pages as heading documents --------------------------------------------------------
 
 

@@ -550,6 +550,12 @@ def node_tree(spark, sf_dir):
     return _tree(spark, sf_dir).drop("parent_title", "content", "pin")
 
 
+@query(_OUTLINE_SQL + "SELECT doc_id, node_seq::INTEGER AS node_seq, parent_seq::INTEGER AS parent_seq, node_id, title, heading_level::INTEGER AS heading_level, is_leaf FROM tree")
+def index_round_trip(spark, sf_dir):
+    written = tree.nested_json(_tree(spark, sf_dir)).withColumnRenamed("tree", "nodes")
+    return tree.from_json(written).select("doc_id", "node_seq", "parent_seq", "node_id", "title", "heading_level", "is_leaf")
+
+
 @query(_OUTLINE_SQL + "SELECT doc_id, node_id, content FROM tree WHERE is_leaf")
 def leaf_content(spark, sf_dir):
     return _tree(spark, sf_dir).where("is_leaf").select("doc_id", "node_id", "content")

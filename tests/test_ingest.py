@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from leafline.operators import ingest, layout, reports
+from leafline.operators import ingest, layout, reports, tree
 from leafline.sources import readers, writers
 
 HEADS = "doc_id string, n int, title string, size double, weight int"
@@ -121,3 +121,14 @@ def test_listings(spark):
     assert got == [("c", "m1", "Answer 1", "q", "not_connected", 0), ("c", "m3", "Answer 2", "r", "grounded", 2)]
     assert reports.preflight({"fingerprint": "f"}) == [] and len(reports.preflight({"stale_docs": ["d"], "completeness_check": False, "busy": True})) == 4
     assert reports.preflight({"fingerprint": "f", "busy": True}, True) == []
+
+
+def test_index_files_become_nodes(spark):
+    leaf = {"nodeId": "b", "title": "B", "headingLevel": 2, "lineIdx": 3, "content": "t", "synthetic": True, "parentTitle": "A"}
+    nested = [{"nodeId": "a", "title": "A", "headingLevel": 1, "lineIdx": 0, "summary": "s", "children": [leaf, {"nodeId": "c"}]}, {"nodeId": "d"}]
+    files = [("x", json.dumps(nested)), ("y", None), ("z", "[{"), ("e", "[]"), ("o", "{}")]
+    got = [tuple(r) for r in tree.from_json(spark.createDataFrame(files, "doc_id string, nodes string")).collect()]
+    assert got == [
+        ("x", 0, None, "a", "A", 1, 0, False, False, None, None, "s"), ("x", 1, 0, "b", "B", 2, 3, True, True, "A", "t", ""),
+        ("x", 2, 0, "c", None, None, None, True, False, None, None, ""), ("x", 3, None, "d", None, None, None, True, False, None, None, ""),
+    ]
