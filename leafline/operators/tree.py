@@ -83,6 +83,19 @@ def sections(split: DataFrame) -> DataFrame:
 PIN = r"(?ms)^```pin[ \t]*$\n(.*?)^```[ \t]*$\n?"
 
 
+def passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, node_id, title, excerpt): the text under each heading, headings counted from 1; blank ones go.
+
+    A document of which nothing is left is one passage, "whole", titled by its id. A null text has none.
+    """
+    own = sections(lines(docs, text))
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("line_idx"))
+    cut = own.select("doc_id", F.concat(F.lit("section-"), nth).alias("node_id"), "title", strip("own").alias("excerpt")).where("excerpt != ''")
+    rest = docs.where(F.col(text).isNotNull()).join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
+    whole = rest.select("doc_id", F.lit("whole").alias("node_id"), F.col("doc_id").cast("string").alias("title"), strip(text).alias("excerpt"))
+    return cut.unionByName(whole)
+
+
 def strip_pins(text: Column) -> Column:
     """Without pin fences and lone image lines; three line breaks or more become two."""
     t = F.regexp_replace(text, PIN, "")

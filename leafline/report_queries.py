@@ -423,3 +423,14 @@ def suggestions(spark, sf_dir):
     even = F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd")
     cases = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("pos"), F.col("p_name").alias("question"), even.alias("category"))
     return reports.suggestions(cases, " E ", "even").select("id", "question")
+
+
+@query(
+    """SELECT s_suppkey AS doc_id, ['whole', 'section-1', 'section-2'][s_suppkey % 3 + 1] AS node_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey::VARCHAR ELSE s_name END AS title,
+    CASE s_suppkey % 3 WHEN 0 THEN 'only ' || s_name WHEN 1 THEN 'body ' || s_suppkey ELSE 'a' || chr(10) || 'b' END AS excerpt FROM supplier"""
+)
+def document_passages(spark, sf_dir):
+    kind, name = F.col("s_suppkey") % 3, F.col("s_name")
+    plain, one = F.concat(F.lit("\nonly "), name, F.lit(" ")), F.concat(F.lit("# "), name, F.lit("\n\nbody "), "s_suppkey", F.lit("\n"))
+    two = F.concat(F.lit("before\n# Empty\n\n## "), name, F.lit("\na\nb"))
+    return tree.passages(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.when(kind == 0, plain).when(kind == 1, one).otherwise(two).alias("text")))
