@@ -36,10 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder and reads it back: smaller than a checkpoint, for wide or long tables.
 
-    The files are removed when the driver's Python ends.
+    Also returns the path, to be removed by whoever knows the last reader; else it goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/leafline-{uuid.uuid4().hex}"
@@ -50,7 +50,12 @@ def stored(df: DataFrame) -> DataFrame:
             remove_path(spark, path)
 
     atexit.register(remove)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table of stored_at."""
+    return stored_at(df)[0]
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -113,6 +118,19 @@ def in_bucket(column: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(modulus)) == remainder, F.lit(False))
 
 
+def finite_vectors(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, list[Column], int]:
+    """(rows whose vector is there, holds finite components only and is as long as the first such row's; the order; that length).
+
+    The order is by key, nulls last, ties by the vector's components. Without such rows the length is 0.
+    """
+    bad = F.exists(F.col(vector), lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    good = rows.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)))
+    order = [F.col(key).isNull(), F.col(key), F.col(vector)]
+    first = good.orderBy(*order).select(F.size(vector)).first()
+    width = first[0] if first else 0
+    return good.where(F.size(vector) == width), order, width
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the ends of edges (a, b); root is the least node reachable.
 

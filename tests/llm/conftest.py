@@ -39,12 +39,24 @@ def labels(spark):
 
 
 @pytest.fixture(scope="session")
-def tables(spark, odd, benchmark, labels, tmp_path_factory):
+def vectors(spark):
+    """Nulls in every column and component, non-finite, zero and too short vectors, ties, repeated rows and clashing extra columns."""
+    inf, nan = float("inf"), float("nan")
+    good = [(i, [float((i * k) % 7) / 8 - 0.3 for k in range(1, 9)], i % 3) for i in range(0, 400, 4)]
+    odd = [(900, None, 1), (901, [], 1), (902, [nan] * 8, 1), (903, [inf] + [0.0] * 7, None), (904, [None] + [0.5] * 7, 0)]
+    odd += [(905, [0.0] * 8, None), (906, [0.1, 0.2], 2), (None, [0.25] * 8, 2), (100, [0.5] * 8, None), (100, [0.5] * 8, None), (200, good[50][1], 0)]
+    rows = [(*r, "x", 0.5) for r in good + odd]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, code string, score double").repartition(3)
+
+
+@pytest.fixture(scope="session")
+def tables(spark, odd, benchmark, labels, vectors, tmp_path_factory):
     """The odd tables as a folder that the registered queries read."""
     folder = tmp_path_factory.mktemp("tables")
     odd.write.parquet(f"{folder}/documents.parquet")
     benchmark.write.parquet(f"{folder}/benchmark.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
+    vectors.write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
