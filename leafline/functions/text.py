@@ -31,6 +31,11 @@ def squeeze(x: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(x), f"{WHITE}+", " "))
 
 
+def first_words(x: str | Column, n: int) -> Column:
+    """The first n words, joined by one space."""
+    return F.array_join(F.slice(F.filter(F.split(_col(x), f"{WHITE}+"), lambda w: w != ""), 1, n), " ")
+
+
 def tokenize(x: str | Column) -> Column:
     """Ranking terms: runs of a-z and 0-9 of the lower-cased text, two characters or more, no stop words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(_col(x), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))

@@ -337,9 +337,14 @@ def from_json(files: DataFrame) -> DataFrame:
 # ---- HTML pages as heading documents --------------------------------------------------------
 
 
-def page_markdown(html: Column) -> Column:
-    """Headings and paragraphs of a page as markdown lines; scripts, styles, navigation and comments go."""
+def page_markdown(html: Column, bold: int | None = None) -> Column:
+    """Headings and paragraphs of a page as markdown lines; scripts, styles, navigation and comments go.
+
+    With ``bold``, a line that is set in bold as a whole, up to the first tag, is a heading of that level.
+    """
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|footer)\b.*?</\1>", "")
+    if bold:
+        t = F.regexp_replace(t, r"(?is)<p\b[^>]*>[ \t\n]*<b>([^<]*)(?:</b>)?[ \t\n]*(?:<br[^>]*>|</p>)", "\n" + "#" * bold + " $1\n")
     for level in range(1, MAX_LEVEL + 1):
         t = F.regexp_replace(t, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n")
     t = F.regexp_replace(t, r"(?i)<(?:br|/p|p|li|/li|div|/div|article|/article|/title)\b[^>]*>", "\n")

@@ -482,20 +482,14 @@ def facet_pending(spark, sf_dir):
 
 # ---- trees ----------------------------------------------------------------------------------
 
-_OUTLINE_SQL = """
-WITH seg AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL),
-nat AS (SELECT n_regionkey, n_nationkey, '## ' || n_name || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'Nation ' || n_nationkey || chr(10) ELSE '' END
-  || string_agg('### ' || c_mktsegment || chr(10) || n || ' customers', chr(10) ORDER BY c_mktsegment) AS body
-  FROM nation JOIN seg ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey, n_name),
-docs AS (SELECT r_name AS doc_id, '# ' || r_name || chr(10) || 'About ' || r_name || chr(10) || string_agg(body, chr(10) ORDER BY n_nationkey) AS text
-  FROM region JOIN nat ON n_regionkey = r_regionkey GROUP BY r_name),
-l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx, unnest(string_split(text, chr(10))) AS line FROM docs),
-h AS (SELECT doc_id, line_idx, length(regexp_extract(line, '^(#+) ', 1)) AS level, regexp_extract(line, '^#+ (.*)$', 1) AS title FROM l WHERE line LIKE '#%'),
-s AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') AS slug, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') ORDER BY line_idx) AS nth FROM h),
+#: From documents (doc_id, text) to the tree of each, in SQL.
+TREE_SQL = r"""l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx, unnest(string_split(text, chr(10))) AS line FROM docs),
+h AS (SELECT doc_id, line_idx, length(regexp_extract(line, '^(#{1,6})[ \t]', 1)) AS level, trim(regexp_extract(line, '^#+[ \t]+(.*)$', 1), chr(9) || ' ') AS title FROM l WHERE regexp_matches(line, '^#{1,6}[ \t]+.')),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line_idx) AS nth FROM (SELECT *, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM h)),
 p AS (SELECT s.*, slug || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS node_id,
   (SELECT max(b.line_idx) FROM h b WHERE b.doc_id = s.doc_id AND b.line_idx < s.line_idx AND b.level < s.level) AS parent_line,
   (SELECT min(b.line_idx) FROM h b WHERE b.doc_id = s.doc_id AND b.line_idx > s.line_idx) AS next_line FROM s),
-o AS (SELECT p.*, (SELECT coalesce(string_agg(line, chr(10) ORDER BY l.line_idx), '') FROM l WHERE l.doc_id = p.doc_id AND l.line_idx > p.line_idx AND l.line_idx < coalesce(p.next_line, 1e9)) AS own,
+o AS (SELECT p.*, (SELECT trim(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY l.line_idx), ''), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10)) FROM l WHERE l.doc_id = p.doc_id AND l.line_idx > p.line_idx AND l.line_idx < coalesce(p.next_line, 1e9)) AS own,
   EXISTS (SELECT 1 FROM p c WHERE c.doc_id = p.doc_id AND c.parent_line = p.line_idx) AS inner_node FROM p),
 n AS (SELECT doc_id, line_idx, 0 AS part, node_id, parent_line, title, level AS heading_level, NOT inner_node AS is_leaf, false AS synthetic, CASE WHEN NOT inner_node THEN own END AS content FROM o
   UNION ALL SELECT doc_id, line_idx, 1, node_id || '-overview', line_idx, title || ' — Overview', level + 1, true, true, own FROM o WHERE inner_node AND own != ''),
@@ -503,9 +497,19 @@ t AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY line_idx, part)
 tree AS (SELECT t.doc_id, t.node_seq, t.node_id, u.node_seq AS parent_seq, t.title, t.heading_level::INTEGER AS heading_level, t.line_idx::INTEGER AS line_idx, t.is_leaf, t.synthetic, t.content
   FROM t LEFT JOIN t u ON u.doc_id = t.doc_id AND u.line_idx = t.parent_line AND u.part = 0)
 """
-_UP_SQL = _OUTLINE_SQL.replace("WITH seg", "WITH RECURSIVE seg") + """, up AS (SELECT doc_id, node_seq AS of, node_seq, parent_seq, title AS crumb, 0 AS d FROM tree
+_OUTLINE_SQL = """
+WITH seg AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL),
+nat AS (SELECT n_regionkey, n_nationkey, '## ' || n_name || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'Nation ' || n_nationkey || chr(10) ELSE '' END
+  || string_agg('### ' || c_mktsegment || chr(10) || n || ' customers', chr(10) ORDER BY c_mktsegment) AS body
+  FROM nation JOIN seg ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey, n_name),
+docs AS (SELECT r_name AS doc_id, '# ' || r_name || chr(10) || 'About ' || r_name || chr(10) || string_agg(body, chr(10) ORDER BY n_nationkey) AS text
+  FROM region JOIN nat ON n_regionkey = r_regionkey GROUP BY r_name),
+""" + TREE_SQL
+#: Each node with the nodes above it.
+CHAIN_SQL = """, up AS (SELECT doc_id, node_seq AS of, node_seq, parent_seq, title AS crumb, 0 AS d FROM tree
   UNION ALL SELECT up.doc_id, up.of, tree.node_seq, tree.parent_seq, tree.title || ' > ' || up.crumb, d + 1 FROM up JOIN tree ON tree.doc_id = up.doc_id AND tree.node_seq = up.parent_seq)
 """
+_UP_SQL = _OUTLINE_SQL.replace("WITH seg", "WITH RECURSIVE seg") + CHAIN_SQL
 
 
 def _outlines(spark, sf_dir):

@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,18 +26,54 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store, if it is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared store, sorted; none if it is not there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(there)) if system.exists(there) else []
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver's Python ends."""
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended first
+            remove(spark, path)
+
+    atexit.register(drop)
+
+
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that this thread stores within, at the end; what outlives it has to be written elsewhere."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            remove(spark, path)
+        _open.paths = outer
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back; the files go when the driver's Python ends."""
+    """Writes df as Parquet into the shared folder and reads it back; the files go with the scratch that is open, else when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/leafline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-
-    def remove() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended first
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-    atexit.register(remove)
+    mine = getattr(_open, "paths", None)
+    if mine is None:
+        drop_at_exit(spark, path)
+    else:
+        mine.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from leafline.store import folder
+from leafline.store import drop_at_exit, folder, names
 
 # States that end a node's run.
 TERMINAL = ["kept", "pruned", "retrieved", "rejected", "deferred", "error"]
@@ -63,25 +63,29 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour"
     )
 
 
-def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drains what is there of a stream into Parquet and returns it: the last state, or all rows in append mode.
+def run_available(df: DataFrame, name: str, mode: str = "complete", at: str | None = None) -> DataFrame:
+    """Drains what is there of a stream into Parquet and returns it: the last state in complete mode, else all rows, in update mode with their batch.
 
-    Each batch writes its own folder in the shared store, so the state never passes the driver.
+    Each batch writes its own folder in the shared store, so the state never passes the driver. With ``at``, a folder of the
+    shared store, another call goes on where the last one stopped; else the folder goes when the driver's Python ends.
     """
-    spark, at = df.sparkSession, f"{folder(df.sparkSession)}/leafline-stream-{uuid.uuid4().hex}"
-    batches: list[int] = []
+    spark = df.sparkSession
+    if at is None:
+        at = f"{folder(spark)}/leafline-stream-{uuid.uuid4().hex}"
+        drop_at_exit(spark, at)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/batch-{number}")
-        batches.append(number)
+        (batch.withColumn("batch", F.lit(number).cast("long")) if mode == "update" else batch).write.mode("overwrite").parquet(f"{at}/batch-{number}")
 
     stream = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
     query: StreamingQuery = stream.foreachBatch(write).start()
     query.awaitTermination()
+    batches = sorted(int(n.partition("-")[2]) for n in names(spark, at) if n.startswith("batch-"))
     kept = batches[-1:] if mode == "complete" else batches
+    schema = T.StructType([*df.schema, T.StructField("batch", T.LongType())]) if mode == "update" else df.schema
     if not kept:
-        return spark.createDataFrame([], df.schema)
-    return spark.read.schema(df.schema).parquet(*[f"{at}/batch-{n}" for n in kept])
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{at}/batch-{n}" for n in kept])
 
 
 def single_fingerprint(log: DataFrame) -> DataFrame:

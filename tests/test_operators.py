@@ -212,11 +212,26 @@ def test_layout(spark):
     assert grid.markdown == "| a | b |\n| --- | --- |\n| c |  |"
 
 
-def test_levels():
-    found = layout.induced_levels(["1 Intro", "1.1 Why", "1.2 How", "2 Next", "Free"])
-    assert found == [(1, "high"), (2, "high"), (2, "high"), (1, "high"), (None, "none")]
-    nested = layout.induced_levels(["I. One", "A. x", "B. y", "II. Two", "A. z"])
-    assert [lv for lv, _ in nested] == [1, 2, 2, 1, 2]
+LEVELS = [
+    (["1 Intro", "1.1 Why", "1.2 How", "2 Next", "Free"], [1, 2, 2, 1, None], "high high high high none"),
+    (["I. One", "A. x", "B. y", "II. Two", "A. z"], [1, 2, 2, 1, 2], "med med med med med"),  # letters begin again below the second section
+    (["A. a", "B. b", "C. c", "I. i", "J. j"], [1, 1, 1, 2, 1], None),  # I follows nothing here: a roman one, in its own series
+    (["H. h", "I. i", "J. j"], [1, 1, 1], "low low low"),  # but after H it is the next letter
+    (["I. i", "A. a", "II. ii", "B. b"], [1, 2, 1, 2], "low low low low"),  # no restart: kinds rank by their first member
+    (["A. a", "A.1 b", "A.2 c", "Section 1 d"], [1, 2, 2, 1], None),
+    (["2.1 a", "1) b", "(a) c", "1) d", "(a) e"], [2, 3, 4, 3, 4], None),
+    (["Plain", "", "other"], [None, None, None], "none none none"),
+]
+
+
+def test_levels(spark):
+    rows = [(d, i, t) for d, (titles, _, _) in enumerate(LEVELS) for i, t in enumerate(titles)] + [(99, 0, None)]
+    found = layout.heading_levels(spark.createDataFrame(rows, "doc_id int, n int, title string")).collect()
+    by = {(r.doc_id, r.n): (r.level, r.confidence) for r in found}
+    assert by.pop((99, 0)) == (None, "none") and len(by) == len(rows) - 1
+    for d, (titles, levels, sure) in enumerate(LEVELS):
+        assert [by[d, i][0] for i in range(len(titles))] == levels, titles
+        assert sure is None or [by[d, i][1] for i in range(len(titles))] == sure.split()
 
 
 def test_titles_are_consumed_in_order(spark):
