@@ -291,3 +291,18 @@ def cost_usd(
         ) / 1e6
 
     return F.round(F.when(total > threshold, at("long")).otherwise(at("short")), 6)
+
+
+def canonical_json(x: str | Column) -> Column:
+    """JSON text with the keys of each object in order and without white space; null if it can't be parsed."""
+    return F.to_json(F.try_parse_json(_col(x)))
+
+
+def questions_fingerprint(x: str | Column) -> Column:
+    """12 hex digits of a question set's content (JSON text): the order of keys and white space don't matter, any other edit does."""
+    return F.substr(F.sha2(canonical_json(x), 256), F.lit(1), F.lit(12))
+
+
+def judgement_key(questions: str | Column, version: str | Column, prompt_version: int) -> Column:
+    """What a stored judgement depends on: the set's own version, the prompt's, and the set's content."""
+    return F.concat(F.lit("v"), _col(version), F.lit(f"|p{prompt_version}|q"), questions_fingerprint(questions))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -243,3 +246,96 @@ def best_sentences(chunks: DataFrame, answers: DataFrame, most: int = 3) -> Data
 def sample(rows: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     """n rows by a seeded hash of their key: the same rows at every run."""
     return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+
+
+def _number(*parts: Column) -> Column:
+    """A number from 0 below 2^60, by the parts' MD5."""
+    return F.conv(F.substr(F.md5(F.concat_ws("|", *parts)), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
+def decoys(queries: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, nth, doc_id, leaf_id) for queries (id, doc_id): k leaves of pool (doc_id, leaf_id) each, none of the query's own document.
+
+    Leaves are ranked with documents next to each other; a query's draws are k steps around the ranks of the others,
+    start and stride by its id and the seed, so they are distinct and reruns agree. A query meets only its own draws. A pool with
+    fewer leaves of other documents gives all of them; ids and documents are not null.
+    """
+    ranked = stored(before(pool.select("doc_id", "leaf_id").distinct(), [], [F.col("doc_id"), F.col("leaf_id")], F.lit(1), "rank"))
+    n = ranked.count()
+    docs = ranked.groupBy("doc_id").agg(F.min("rank").alias("low"), F.count("*").alias("own"))
+    asked = queries.select("id", "doc_id").join(docs, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    others = asked.withColumn("n", F.lit(n) - F.col("own")).where("n > 0")
+    stride = 1 + F.pmod(_number(F.col("id").cast("string"), F.lit(str(seed)), F.lit("stride")), F.greatest(F.lit(1), F.floor((F.col("n") - 1) / k)))
+    start = F.pmod(_number(F.col("id").cast("string"), F.lit(str(seed)), F.lit("start")), F.col("n"))
+    drawn = others.withColumn("start", start).withColumn("stride", F.when(F.col("n") <= k, 1).otherwise(stride))
+    steps = drawn.select("id", "low", "own", "n", "start", "stride", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n")) - 1)).alias("nth"))
+    at = F.pmod(F.col("start") + F.col("nth") * F.col("stride"), F.col("n"))
+    at = at + F.when(at >= F.col("low"), F.col("own")).otherwise(0)  # past the own document's ranks
+    return steps.select("id", F.col("nth").cast("int").alias("nth"), at.alias("rank")).join(ranked, "rank").select("id", "nth", "doc_id", "leaf_id")
+
+
+def forced_answers(queries: DataFrame, drawn: DataFrame, leaves: DataFrame, judge: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, n_sources, n_relevant, label, passed): queries (id, query) answered from passages that can't hold the answer.
+
+    drawn are decoys, leaves (doc_id, leaf_id, text). The judge says of each passage whether it is relevant; a query
+    passes if none is, as then the answer is "insufficient".
+    """
+    texts = drawn.join(leaves.select("doc_id", "leaf_id", "text"), ["doc_id", "leaf_id"])
+    judged = texts.join(queries.select("id", "query"), "id").withColumn("v", judge(F.col("query"), F.col("text")))
+    per = judged.groupBy("id").agg(F.count("*").alias("n_sources"), F.count_if(F.coalesce("v.relevant", F.lit(False))).alias("n_relevant"))
+    label = F.when(F.col("n_relevant") == 0, "insufficient").when(F.col("n_relevant") < F.col("n_sources"), "partial").otherwise("sufficient")
+    return per.withColumn("label", label).withColumn("passed", F.col("label") == "insufficient")
+
+
+def named_terms(records: DataFrame) -> DataFrame:
+    """records (id, edit_term, answer, still_needed, label) with in_needed and in_answer: is the invented term named there, whatever the case?
+
+    Null where there is no term; a null text names none.
+    """
+    term = F.lower("edit_term")
+    named = lambda c: F.when(term.isNotNull(), F.contains(F.lower(F.coalesce(c, F.lit(""))), term))
+    return records.withColumn("in_needed", named(F.col("still_needed"))).withColumn("in_answer", named(F.col("answer")))
+
+
+def named_summary(records: DataFrame) -> DataFrame:
+    """One row of named_terms: n, insufficient, in_needed, in_answer."""
+    return records.agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == "insufficient").alias("insufficient"),
+        F.count_if("in_needed").alias("in_needed"), F.count_if("in_answer").alias("in_answer"),
+    )
+
+
+def baselines(main: DataFrame, ranks: DataFrame, frontier: DataFrame, forced: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """(section, fact, value, n): what a run is compared with, as one row set; n is what the value is of.
+
+    main are (gold_outcome, gold_retrieved, n_retrieved, error), ranks (set, rank) of a plain ranking, frontier (gold_cited, n_cited, cache, error) of a model
+    that reads the whole corpus, forced (label, passed, grounding_status). Records with an error count nowhere. An empty table has n 0 and null shares.
+    """
+    fine = main.where("error IS NULL")
+    known = fine.where(~F.col("gold_outcome").isin("deferred", "deferred_judged_relevant"))
+    share = lambda c: F.avg(c.cast("int"))
+
+    def facts(rows: DataFrame, section: str, named: dict[str, Column]) -> DataFrame:
+        told = F.array(*[F.struct(F.lit(name).alias("fact"), value.cast("double").alias("value")) for name, value in named.items()])
+        one = rows.agg(F.count("*").alias("n"), told.alias("facts"))
+        return one.select(F.lit(section).alias("section"), F.explode("facts").alias("f"), "n").select("section", "f.fact", "f.value", "n")
+
+    rank = F.col("rank")
+    of_rank = {f"recall@{k}": share(F.coalesce(rank <= k, F.lit(False))) for k in ks}
+    of_rank |= {"mrr": F.avg(F.coalesce(1 / rank, F.lit(0.0))), "median rank": F.median("rank")}
+    heard = frontier.where("error IS NULL")
+    of_frontier = {"gold cited": F.count_if("gold_cited"), "mean cited": F.avg("n_cited"), "cache misses": F.count_if(F.col("cache") == "MISS")}
+    of_forced = {"said insufficient": F.count_if("passed"), "grounded": F.count_if(F.col("grounding_status") == "grounded")}
+    labels = forced.groupBy("label").agg(F.count("*").alias("k")).select(
+        F.lit("forced").alias("section"), F.concat(F.lit("label "), F.coalesce("label", F.lit("(none)"))).alias("fact"),
+        F.col("k").cast("double").alias("value"), F.sum("k").over(W.partitionBy()).alias("n"),
+    )
+    parts = [
+        facts(known, "system", {"recall": share(F.col("gold_retrieved"))}),
+        facts(fine, "system", {"budget-matched k": F.greatest(F.lit(1), F.bround(F.avg("n_retrieved"), 0).cast("long"))}),
+        facts(ranks, "bm25", of_rank),
+        facts(heard, "frontier", of_frontier),
+        facts(forced, "forced", of_forced),
+        labels,
+    ]
+    return reduce(DataFrame.unionByName, parts)

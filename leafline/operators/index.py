@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafline.store import stored
+from leafline.store import before, stored
 
 FORMAT_VERSION = 2
 PROMPT_VERSION = 2003
@@ -33,13 +33,22 @@ def changed_documents(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.select("doc_id", state.alias("state"))
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """One row: a hash over the sorted names and hashes of all files, 32 hex digits.
+def fingerprint(files: DataFrame, width: int = 1024) -> DataFrame:
+    """One row: a hash over the sorted names and hashes of all files (name, sha256), 32 hex digits.
 
-    One short string for each file meets in one task.
+    A tree of digests: each takes ``width`` neighbours in the order of names, then of those digests, until one is left. So no task
+    sees more than ``width`` of them at a time, and how the table is partitioned does not matter. Names are distinct.
     """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: F.concat(x["name"], x["sha256"]))
-    return files.agg(F.substr(F.sha2(F.array_join(listed, ""), 256), F.lit(1), F.lit(32)).alias("fingerprint"))
+    level = files.select(F.concat("name", "sha256").alias("text"), "name")
+    ranked = before(level, [], [F.col("name")], F.lit(1), "rank").select("rank", "text")
+    while True:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
+        grouped = ranked.groupBy(F.floor(F.col("rank") / width).alias("of")).agg(F.sha2(F.array_join(listed, ""), 256).alias("text"))
+        ranked = stored(grouped.select(F.col("of").alias("rank"), "text"))
+        if ranked.limit(2).count() < 2:
+            break
+    digest = F.coalesce(F.max("text"), F.sha2(F.lit(""), 256))
+    return ranked.agg(F.substr(digest, F.lit(1), F.lit(32)).alias("fingerprint"))
 
 
 def summary_inputs(level: DataFrame, below: DataFrame) -> DataFrame:

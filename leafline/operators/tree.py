@@ -271,28 +271,53 @@ def ancestor_closure(tree: DataFrame, kept: DataFrame) -> DataFrame:
     return own.select("doc_id", "node_seq").unionByName(up).distinct()
 
 
-def nested_json(tree: DataFrame) -> DataFrame:
-    """(doc_id, tree): each document's nodes as one nested JSON text, for export."""
-    import json
-
-    def fold(pdf):
-        kids: dict = {}
-        for row in pdf.sort_values("node_seq").to_dict("records"):
-            row["parent_seq"] = None if row["parent_seq"] != row["parent_seq"] else row["parent_seq"]
-            kids.setdefault(row["parent_seq"], []).append(row)
+def kept_within(tree: DataFrame, keep: DataFrame) -> DataFrame:
+    """tree (with ancestors) without nodes that keep (doc_id, node_seq) lacks or that lie below such a node."""
+    chosen = keep.select("doc_id", "node_seq").distinct()
+    gone = tree.select("doc_id", "node_seq").join(chosen, ["doc_id", "node_seq"], "left_anti")
+    above = tree.select("doc_id", F.col("node_seq").alias("of"), F.explode("ancestors").alias("node_seq"))
+    below = above.join(gone, ["doc_id", "node_seq"], "left_semi").select("doc_id", F.col("of").alias("node_seq"))
+    return tree.join(gone.unionByName(below).distinct(), ["doc_id", "node_seq"], "left_anti")
 
-        def build(key):
-            return [
-                {"nodeId": r["node_id"], "title": r["title"], "headingLevel": int(r["heading_level"]), "children": build(r["node_seq"])}
-                for r in kids.get(key, [])
-            ]
 
-        return pdf.iloc[:1][["doc_id"]].assign(tree=json.dumps(build(None), ensure_ascii=False))
+def nested_json(tree: DataFrame, depth: str | None = None) -> DataFrame:
+    """(doc_id, tree): each document's nodes as one nested JSON text, for export.
 
-    kind = tree.schema["doc_id"].dataType.simpleString()
-    return tree.select("doc_id", "node_seq", "parent_seq", "node_id", "title", "heading_level").groupBy("doc_id").applyInPandas(
-        fold, f"doc_id {kind}, tree string"
-    )
+    In preorder each node opens, and closes itself and as many above it as the next node's depth says; so the text is the nodes' own
+    texts in order. Depth is that column, or found from the tree's levels. The tree may be pruned, as long as no node has lost the one above.
+    """
+    leveled = tree.withColumn("__depth", F.col(depth)) if depth else with_ancestors(tree).withColumn("__depth", F.col("depth"))
+    fields = [F.col("node_id").alias("nodeId"), "title", F.col("heading_level").alias("headingLevel")]
+    own = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    opened = F.concat(F.substr(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['))
+    following = F.lead("__depth").over(W.partitionBy("doc_id").orderBy("node_seq"))
+    closed = F.repeat(F.lit("]}"), F.col("__depth") - F.coalesce(following, F.lit(0)) + 1)
+    text = F.concat(opened, closed, F.when((following <= F.col("__depth")), ",").otherwise(""))
+    parts = leveled.select("doc_id", F.struct("node_seq", text.alias("text")).alias("p"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "")
+    return parts.groupBy("doc_id").agg(F.concat(F.lit("["), joined, F.lit("]")).alias("tree"))
+
+
+def section_texts(tree: DataFrame, limit: int = 4000) -> DataFrame:
+    """(doc_id, node_seq, text): what a node has to say, cut to ``limit`` characters; tree has ancestors.
+
+    A node's own content, or else its leaves' titles and contents in order, a blank line between them (a leaf without content: its title);
+    "(no content)" if there is none. Lengths are summed along the leaves of each section first, and only the part of a leaf's text that lies within
+    the limit is carried to the section, so that no section's whole text is ever gathered.
+    """
+    leaf = tree.where("is_leaf").withColumn("piece", F.concat("title", F.lit("\n"), F.coalesce("content", F.lit(""))))
+    pairs = leaf.select("doc_id", F.col("node_seq").alias("leaf"), "piece", F.explode(F.concat(F.array("node_seq"), "ancestors")).alias("node_seq"))
+    ordered = W.partitionBy("doc_id", "node_seq").orderBy("leaf")
+    start = F.coalesce(F.sum(F.length("piece") + 2).over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    more = F.lead("leaf").over(ordered).isNotNull() | (F.col("start") + F.length("piece") > limit)
+    cut = pairs.withColumn("start", start).withColumn("more", more).where(F.col("start") < limit)
+    cut = cut.withColumn("piece", F.substr("piece", F.lit(1), (F.lit(limit) - F.col("start")).cast("int")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "piece"))), lambda p: p["piece"]), "\n\n")
+    below = cut.groupBy("doc_id", "node_seq").agg(joined.alias("below"), F.max_by("more", "leaf").alias("more"))
+    gathered = F.when(F.col("more"), F.col("below")).otherwise(strip(F.coalesce("below", F.lit(""))))  # ends are stripped before the cut
+    own = F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(gathered)
+    text = F.substr(F.when(own == "", F.lit("(no content)")).otherwise(own), F.lit(1), F.lit(limit))
+    return tree.select("doc_id", "node_seq", "content").join(below, ["doc_id", "node_seq"], "left").select("doc_id", "node_seq", text.alias("text"))
 
 
 NODE_SCHEMA = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.functions.text import tokenize
+from leafline.operators.tree import section_texts
 
 #: query, text -> struct<relevant boolean, reason string, quote string>
 Judge = Callable[[Column, Column], Column]
@@ -49,3 +50,19 @@ def to_store(rows: DataFrame, kind: str, model: str, version: int) -> DataFrame:
     return rows.select(
         F.lit(kind).alias("kind"), F.lit(model).alias("model"), F.lit(version).alias("prompt_version"), "input_hash", "verdict"
     ).dropDuplicates(["input_hash"])
+
+
+def explained(tree: DataFrame, queries: DataFrame, judge: Judge, limit: int = 4000) -> DataFrame:
+    """(query_id, doc_id, node_seq, topic, addresses_query, reason): why nodes were not selected, from what they really say.
+
+    tree has ancestors, queries are (query_id, query, doc_id, node_seq): a node that a reader asks about. The judge reads the node's
+    section_texts; the topic is the node's title. A judge that gives null says no, with empty texts.
+    """
+    texts = section_texts(tree, limit)
+    asked = queries.join(texts, ["doc_id", "node_seq"]).join(tree.select("doc_id", "node_seq", "title"), ["doc_id", "node_seq"])
+    told = asked.withColumn("v", judge(F.col("query"), F.col("text")))
+    topic = F.when(F.col("v").isNull(), F.lit("")).otherwise(F.col("title"))
+    return told.select(
+        "query_id", "doc_id", "node_seq", topic.alias("topic"), F.coalesce("v.relevant", F.lit(False)).alias("addresses_query"),
+        F.coalesce("v.reason", F.lit("")).alias("reason"),
+    )
