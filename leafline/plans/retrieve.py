@@ -15,6 +15,8 @@ from leafline.store import stored
 
 #: Leaves that are judged before the budget is looked at again.
 EVAL_BLOCK = 100
+#: Keys of leaves to be judged up to which they are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_BEST = 100_000
 
 
 def select_sections(tree: DataFrame, query: Column, judge: Judge) -> DataFrame:
@@ -35,25 +37,29 @@ def retrieve(
     span the corpus, or each document; what comes after the budget's end or max_evals is deferred and not judged. Sources are numbered in tree order.
     """
     judge = judge or lexical_judge()
-    leaves = tree.where("is_leaf").withColumn("text", ranking_text("title", "summary", "content"))
     key = ["doc_id", "node_seq"]
-    if selected is not None:
-        walked = survivors(tree, selected).select(*key, F.col("status").alias("walk"), F.col("reason").alias("walk_reason"))
-        leaves = leaves.join(walked, key)
-        dropped = leaves.where("walk = 'pruned'")
-        back = rescue(dropped, queries, key, "text", most_rescued).select(*key).distinct().withColumn("rehydrated", F.lit(True))
-        leaves = leaves.join(back, key, "left").withColumn("rehydrated", F.coalesce("rehydrated", F.lit(False)))
-        candidates, gone = leaves.where("walk IS NULL OR rehydrated"), leaves.where("walk = 'pruned' AND NOT rehydrated")
+    leaves = tree.where("is_leaf").withColumn("text", ranking_text("title", "summary", "content"))
+    gone = None
+    if selected is None:
+        slim = leaves.select(*key, "node_id", F.lit(False).alias("rehydrated"))
     else:
-        candidates, gone = leaves.withColumn("rehydrated", F.lit(False)), None
+        walked = survivors(tree, selected).where("is_leaf").select(*key, "node_id", F.col("status").alias("walk"), F.col("reason").alias("walk_reason"))
+        walked = stored(walked)
+        dropped = walked.where("walk = 'pruned'").select(*key)
+        back = rescue(leaves.join(dropped, key, "left_semi"), queries, key, "text", most_rescued).select(*key).distinct().withColumn("rehydrated", F.lit(True))
+        walked = stored(walked.join(back, key, "left").withColumn("rehydrated", F.coalesce("rehydrated", F.lit(False))))
+        slim, gone = walked.where("walk IS NULL OR rehydrated"), walked.where("walk = 'pruned' AND NOT rehydrated")
+        leaves = leaves.join(slim.select(*key), key, "left_semi")
     scope = ["doc_id"] if per_document else []
 
-    wide = stored(candidates.select(*key, "node_id", "title", "content", "text", "rehydrated"))
     by = ["query_id", *scope]
-    listed = stored(ranked(wide, queries, key, "text", key, scope).select("query_id", *key, "rank", "score"))
-    scanned = budget_scan(_judged(wide, listed, queries, key, judge, by, budget, max_evals), budget, by=by, max_evals=max_evals)
+    listed = stored(ranked(leaves, queries, key, "text", key, scope).select("query_id", *key, "rank", "score"))
+    best = listed.where(F.col("rank") < max_evals).select("query_id", *key, "rank")
+    best = F.broadcast(best) if best.count() <= BROADCAST_BEST else best
+    texts = stored(leaves.select(*key, "title", "content", "text").join(best, key))  # only what may be judged is copied
+    scanned = budget_scan(_judged(texts, queries, key, judge, by, budget, max_evals), budget, by=by, max_evals=max_evals)
     scanned = scanned.select("query_id", *key, "status", F.col("v.reason").alias("reason"), "judged_relevant")
-    named = listed.join(wide.select(*key, "node_id", "rehydrated"), key).join(scanned, ["query_id", *key], "left")
+    named = listed.join(slim.select(*key, "node_id", "rehydrated"), key).join(scanned, ["query_id", *key], "left")
     status = F.coalesce("status", F.lit("deferred"))
     verdicts = named.select(
         "query_id", *key, "node_id", status.alias("status"), F.when(status != "deferred", F.col("reason")).alias("reason"), "rank",
@@ -74,19 +80,19 @@ def retrieve(
 
 
 def _judged(
-    wide: DataFrame, listed: DataFrame, queries: DataFrame, key: list[str], judge: Judge, by: list[str], budget: int, max_evals: int
+    texts: DataFrame, queries: DataFrame, key: list[str], judge: Judge, by: list[str], budget: int, max_evals: int
 ) -> DataFrame:
-    """The best of listed (rank) with v, relevant and cost, judged a block of ranks at a time until each budget is passed.
+    """The best leaves (query_id, key, rank, title, content, text) with v, relevant and cost, judged a block of ranks at a time until each budget is passed.
 
     What the judge says is stored, so it is asked once about a leaf, and not about leaves behind the end of a budget. At most
     max_evals leaves of a query are judged.
     """
     out, still = None, None
     for first in range(0, max_evals, EVAL_BLOCK):
-        block = listed.where((F.col("rank") >= first) & (F.col("rank") < min(first + EVAL_BLOCK, max_evals)))
+        block = texts.where((F.col("rank") >= first) & (F.col("rank") < min(first + EVAL_BLOCK, max_evals)))
         block = block if still is None else block.join(still, by, "left_semi")
-        texts = block.join(wide, key).join(F.broadcast(queries.select("query_id", "query")), "query_id")
-        said = texts.withColumn("v", judge(F.col("query"), F.col("text"))).withColumn("cost", leaf_cost("title", "content"))
+        said = block.join(F.broadcast(queries.select("query_id", "query")), "query_id")
+        said = said.withColumn("v", judge(F.col("query"), F.col("text"))).withColumn("cost", leaf_cost("title", "content"))
         said = stored(said.select("query_id", *key, "rank", "v", F.col("v.relevant").alias("relevant"), "cost"))
         out = said if out is None else out.unionByName(said)
         used = out.groupBy(*by).agg(F.sum(F.when(F.col("relevant"), F.col("cost"))).alias("used"), F.max("rank").alias("last"))

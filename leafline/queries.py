@@ -171,69 +171,6 @@ def archive_totals(spark, sf_dir):
     return evaluate.totals(_costed(spark, sf_dir).withColumnRenamed("total", "input_tokens").withColumnRenamed("out", "output_tokens"))
 
 
-_ANSWERS = [
-    (1, "SHORT_ANSWER: see [1] and [2, 3].\nEVIDENCE_SUFFICIENT: yes", 3),
-    (2, "**Short answer:** none [9]\n**Evidence sufficient:** No, partly\nSTILL_NEEDED:\n- dose\n• age", 2),
-    (3, "no labels at all", 4),
-    (4, "", 0),
-]
-_ANSWER_VALUES = ", ".join(f"({i}, '{t}', {n})".replace("\n", "' || chr(10) || '") for i, t, n in _ANSWERS)
-
-
-@query(
-    rf"""SELECT id, list_transform(flatten(list_transform(regexp_extract_all(t, '\[([0-9]+(?:\s*,\s*[0-9]+)*)\]', 1), lambda g: string_split(g, ','))), lambda p: trim(p)::INTEGER) AS cited
-    FROM (VALUES {_ANSWER_VALUES}) v(id, t, n)"""
-)
-def cited_numbers(spark, sf_dir):
-    return spark.createDataFrame(_ANSWERS, "id int, t string, n int").select("id", text.cited_numbers("t").alias("cited"))
-
-
-@query(
-    rf"""SELECT id, CASE WHEN n <= 0 THEN 'insufficient_evidence'
-      WHEN len(list_filter(list_transform(regexp_extract_all(t, '[\[,]\s*([0-9]+)', 1), lambda p: p::INTEGER), lambda c: c BETWEEN 1 AND n)) > 0 THEN 'grounded'
-      ELSE 'partially_grounded' END AS status FROM (VALUES {_ANSWER_VALUES}) v(id, t, n)"""
-)
-def grounding(spark, sf_dir):
-    return spark.createDataFrame(_ANSWERS, "id int, t string, n int").select("id", text.grounding_status("t", "n").alias("status"))
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 'see [1] and [2, 3].', 'sufficient', 'sufficient', []::VARCHAR[]), (2, 'none [9]', 'insufficient', 'insufficient', ['dose', 'age']),
-    (3, NULL, 'missing', 'sufficient', []), (4, NULL, 'missing', 'sufficient', [])) v(id, short_answer, label, ui_reading, still_needed)"""
-)
-def answer_sections(spark, sf_dir):
-    rows = spark.createDataFrame(_ANSWERS, "id int, t string, n int").withColumn("s", parsing.sections_of(F.col("t")))
-    raw = F.element_at("s", "evidence_sufficient")
-    return rows.select(
-        "id", F.element_at("s", "short_answer").alias("short_answer"), text.judgment_label(raw).alias("label"),
-        text.judgment_ui_reading(raw).alias("ui_reading"), text.still_needed(F.element_at("s", "still_needed")).alias("still_needed"),
-    )
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 'a'), (2, 'dosing'), (3, 'b-2'), (4, 'leaf-1'), (5, 'section-overview'), (6, 'child'), (7, 'y')) v(id, node_id)"""
-)
-def clean_node_id(spark, sf_dir):
-    raw = [(1, "- a"), (2, "id=dosing | LEAF | Dosing"), (3, "LEAF: b-2"), (4, "leaf-1"), (5, "* section-overview"), (6, "x/child"), (7, "z | id=y | q")]
-    return spark.createDataFrame(raw, "id int, raw string").select("id", text.clean_node_id("raw").alias("node_id"))
-
-
-@query(
-    """SELECT * FROM (VALUES (1, '{"quote": "the \\"global\\" survey", "relevant": true}'), (2, '[{"id": "a"}]'), (3, '["a", "b"]'), (4, NULL)) v(id, value)"""
-)
-def json_repair(spark, sf_dir):
-    raw = [(1, '{"quote": "the "global" survey", "relevant": true}'), (2, '```json\n[{"id": "a"}]\n```'), (3, '{"keep": ["a", "b"'), (4, "<think>x</think>nothing")]
-    return spark.createDataFrame(raw, "id int, raw string").select("id", parsing.json_of(F.col("raw")).alias("value"))
-
-
-@query(
-    r"""SELECT id, replace(m, '/', chr(10)) AS markdown FROM (VALUES (1, '| a | b |/| --- | --- |/| 1\|2 | x |/|  | y |'), (2, '')) v(id, m)"""
-)
-def html_table(spark, sf_dir):
-    raw = [(1, "<table><tr><th>a</th><th>b</th></tr><tr><td rowspan=2>1|2</td><td>x</td></tr><tr><td>y</td></tr></table>"), (2, "no table")]
-    return spark.createDataFrame(raw, "id int, html string").select("id", parsing.markdown_of(F.col("html")).alias("markdown"))
-
-
 # ---- ranking --------------------------------------------------------------------------------
 
 
@@ -894,16 +831,6 @@ def union_boxes(spark, sf_dir):
     return layout.union_boxes(_regions(spark, sf_dir), ["doc_id", "page"])
 
 
-@query(
-    """SELECT doc_id, n, level, confidence FROM (VALUES (1), (2)) d(doc_id) CROSS JOIN (VALUES (0, 1, 'high'), (1, 2, 'high'), (2, 3, 'low'), (3, 4, 'low'), (4, 5, 'low'),
-    (5, 3, 'low'), (6, 1, 'high'), (7, 3, 'high'), (8, NULL, 'none')) v(n, level, confidence)"""
-)
-def heading_levels(spark, sf_dir):
-    titles = ["1 Intro", "1.1 Why", "A. Case", "i) one", "ii) two", "B. Case", "2 Method", "2.1.3 Deep", "Results"]
-    rows = [(d, i, t) for d in (1, 2) for i, t in enumerate(titles)]
-    return layout.heading_levels(spark.createDataFrame(rows, "doc_id int, n int, title string"))
-
-
 # ---- whole plans ----------------------------------------------------------------------------
 
 

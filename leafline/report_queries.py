@@ -117,25 +117,28 @@ def deferred_before(spark, sf_dir):
 
 
 @query(
-    rf"""WITH asked AS (SELECT item_id AS id, item_id % 9 AS page, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS nums,
-      list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: NOT list_contains({STOP_SQL}, w))) AS words FROM benchmark),
-    parts AS (SELECT doc_id, doc_id % 7 AS page, string_split(regexp_replace(text, '([.;:])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
-    split AS (SELECT doc_id, page, unnest(s) AS sentence, generate_subscripts(s, 1) AS no FROM parts),
+    rf"""WITH src AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+    asked AS (SELECT item_id AS id, source, item_id % 9 AS page, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?')) AS nums,
+      list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: NOT list_contains({STOP_SQL}, w))) AS words FROM benchmark JOIN src ON i = item_id % (SELECT count(*) FROM src)),
+    parts AS (SELECT doc_id, source, doc_id % 7 AS page, string_split(regexp_replace(text, '([.;:])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+    split AS (SELECT doc_id, source, page, unnest(s) AS sentence, generate_subscripts(s, 1) AS no FROM parts),
     hits AS (SELECT id, doc_id, no, abs(split.page - asked.page) <= 1 OR abs(split.page + 1 - asked.page) <= 1 AS near,
       5 * len(list_filter(nums, lambda x: contains(lower(sentence), x))) + len(list_filter(words, lambda x: contains(lower(sentence), x)))
-      + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 2 ELSE 0 END AS score FROM asked JOIN split ON doc_id % 50 = id % 50),
+      + CASE WHEN regexp_matches(sentence, '[0-9]') THEN 2 ELSE 0 END AS score FROM asked JOIN split ON split.source = asked.source),
     best AS (SELECT id, arg_min({{'c': doc_id, 's': score, 'n': near}}, (-score, doc_id, no)) AS a, arg_min({{'c': doc_id, 's': score}}, (-score, doc_id, no)) FILTER (near) AS k FROM hits WHERE score > 0 GROUP BY id)
     SELECT asked.id, CASE WHEN a IS NULL THEN 'NONE' WHEN k.s >= 8 THEN 'OK' WHEN a.n THEN 'WEAK' ELSE 'OFFPAGE' END AS verdict,
       CASE WHEN k.s >= 8 THEN k.c ELSE a.c END AS chunk_id, coalesce(CASE WHEN k.s >= 8 THEN k.s ELSE a.s END, 0)::INTEGER AS score FROM asked LEFT JOIN best USING (id)"""
 )
 def sentence_verdict(spark, sf_dir):
-    asked = read(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("id"), (F.col("item_id") % 50).alias("doc"), F.col("text").alias("question"), (F.col("item_id") % 9).alias("page")
+    """Each item's sentence among all documents of a source."""
+    docs = read(spark, sf_dir, "documents")
+    sources = docs.where("source IS NOT NULL").select("source").distinct().withColumn("i", F.row_number().over(tree.W.orderBy("source")) - 1)  # a row a source
+    n = sources.count()
+    asked = read(spark, sf_dir, "benchmark").withColumn("i", F.col("item_id") % max(1, n)).join(sources, "i").select(
+        F.col("item_id").alias("id"), F.col("source").alias("doc"), F.col("text").alias("question"), (F.col("item_id") % 9).alias("page")
     )
     page = F.col("doc_id") % 7
-    chunks = read(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 50).alias("doc"), F.col("doc_id").alias("chunk_id"), F.array(page, page + 1).alias("pages"), F.col("text").alias("body")
-    )
+    chunks = docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id"), F.array(page, page + 1).alias("pages"), F.col("text").alias("body"))
     return reports.sentence_verdicts(asked, chunks)
 
 
@@ -210,13 +213,15 @@ def unindexed_stems(spark, sf_dir):
 
 
 @query(
-    """SELECT a.conv_id AS id, a.role, b.text AS b_text, c.text AS c_text FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1
-    LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = 2 WHERE a.turn = 0"""
+    """SELECT a.conv_id || '-' || a.turn AS id, a.role, b.text AS b_text, c.text AS c_text FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+    LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn + 2 WHERE a.turn % 3 = 0"""
 )
 def cases_abc(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations")
-    of = lambda n: turns.where(F.col("turn") == n).select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("id"), "text")
-    a = turns.where("turn = 0").select(F.col("conv_id").alias("id"), "role")
+    """Every three turns in a row of a conversation as the A, B and C row of a case."""
+    turns = read(spark, sf_dir, "conversations").withColumn("k", F.col("turn") % 3)
+    named = F.concat_ws("-", "conv_id", F.col("turn") - F.col("k"))
+    of = lambda n: turns.where(F.col("k") == n).select(named.alias("pair_id"), F.col("turn").alias("id"), "text")
+    a = turns.where("k = 0").select(named.alias("id"), "role")
     return reports.cases(a, of(1), of(2)).select("id", "role", F.col("b.text").alias("b_text"), F.col("c.text").alias("c_text"))
 
 
@@ -268,7 +273,7 @@ def _replies(spark, sf_dir) -> DataFrame:
     """SELECT conv_id, turn, 'a [1] b [2, ' || conv_id || ']' AS short_answer, ['sufficient', 'insufficient', 'unparsed'][turn % 3 + 1] AS label,
     CASE WHEN turn % 3 = 1 THEN 'insufficient' ELSE 'sufficient' END AS ui_reading, [role, 't' || turn] AS still_needed FROM conversations"""
 )
-def answer_sections_of_turns(spark, sf_dir):
+def answer_sections(spark, sf_dir):
     rows = _replies(spark, sf_dir).withColumn("s", parsing.sections_of(F.col("t")))
     raw = F.element_at("s", "evidence_sufficient")
     return rows.select(
@@ -277,15 +282,18 @@ def answer_sections_of_turns(spark, sf_dir):
     )
 
 
-@query(
-    """SELECT conv_id, turn, [1, 2, conv_id::INTEGER] AS cited, CASE WHEN turn = 0 THEN 'insufficient_evidence' ELSE 'grounded' END AS status FROM conversations"""
-)
-def citations_of_turns(spark, sf_dir):
-    return _replies(spark, sf_dir).select("conv_id", "turn", text.cited_numbers("t").alias("cited"), text.grounding_status("t", "turn").alias("status"))
+@query("SELECT conv_id, turn, [1, 2, conv_id::INTEGER] AS cited FROM conversations")
+def cited_numbers(spark, sf_dir):
+    return _replies(spark, sf_dir).select("conv_id", "turn", text.cited_numbers("t").alias("cited"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'insufficient_evidence' ELSE 'grounded' END AS status FROM conversations")
+def grounding(spark, sf_dir):
+    return _replies(spark, sf_dir).select("conv_id", "turn", text.grounding_status("t", "turn").alias("status"))
 
 
 @query("""SELECT p_partkey AS id, p_brand || '-' || p_partkey AS node_id FROM part""")
-def node_ids_of_parts(spark, sf_dir):
+def clean_node_id(spark, sf_dir):
     key = F.concat("p_brand", F.lit("-"), "p_partkey")
     nth = F.col("p_partkey") % 5
     raw = F.when(nth == 0, F.concat(F.lit("- "), key)).when(nth == 1, F.concat(F.lit("id="), key, F.lit(" | LEAF | "), "p_name"))
@@ -294,7 +302,7 @@ def node_ids_of_parts(spark, sf_dir):
 
 
 @query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 2 THEN '["' || s_name || '", "b"]' ELSE '{"quote": "the \\"' || s_name || '\\" x", "relevant": true}' END AS value FROM supplier""")
-def json_repair_of_suppliers(spark, sf_dir):
+def json_repair(spark, sf_dir):
     kind, name = F.col("s_suppkey") % 3, F.col("s_name")
     stray = F.concat(F.lit('{"quote": "the "'), name, F.lit('" x", "relevant": true}'))
     fenced = F.concat(F.lit('<think>no</think>```json\n{"quote": "the \\"'), name, F.lit('\\" x", "relevant": true}\n```'))
@@ -306,7 +314,7 @@ def json_repair_of_suppliers(spark, sf_dir):
 @query(
     r"""SELECT s_suppkey AS id, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || s_name || ' \| x | ' || s_suppkey || ' |' || chr(10) || '|  | & |' AS markdown FROM supplier"""
 )
-def html_table_of_suppliers(spark, sf_dir):
+def html_table(spark, sf_dir):
     html = F.concat(
         F.lit("<p>before</p><table><tr><th>name<th>name</th><th>key</th></tr><tr><td rowspan='2'><b>"), "s_name",
         F.lit("</b> | x</td>\n<td>"), "s_suppkey", F.lit("</td></tr><tr><td>&amp;</td></tr></table>"),
@@ -315,14 +323,17 @@ def html_table_of_suppliers(spark, sf_dir):
 
 
 @query(
-    """SELECT n_regionkey AS doc_id, (n_nationkey * 2 + k)::BIGINT AS n, (k + 1)::INTEGER AS level FROM nation CROSS JOIN (VALUES (0), (1)) v(k)"""
+    """WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem)
+    SELECT doc_id, (r * 4 + i)::INTEGER AS n, CASE WHEN i < 3 THEN i + 1 END::INTEGER AS level, CASE WHEN i = 3 THEN 'none' WHEN i = 0 THEN 'high' WHEN k > 1 THEN 'med' ELSE 'low' END AS confidence
+    FROM l CROSS JOIN (VALUES (0), (1), (2), (3)) v(i)"""
 )
-def heading_levels_of_nations(spark, sf_dir):
-    nth = F.row_number().over(tree.W.partitionBy("n_regionkey").orderBy("n_nationkey"))
-    rows = read(spark, sf_dir, "nation").withColumn("i", nth)
-    both = F.array(F.concat("i", F.lit(". "), "n_name"), F.concat("i", F.lit(".1 Part of "), "n_name"))
-    titles = rows.select(F.col("n_regionkey").alias("doc_id"), "n_nationkey", F.posexplode(both).alias("k", "title"))
-    return layout.heading_levels(titles.select("doc_id", (F.col("n_nationkey") * 2 + F.col("k")).cast("long").alias("n"), "title")).select("doc_id", "n", "level")
+def heading_levels(spark, sf_dir):
+    """An order's lines as numbered sections of a document, below each a letter and a number in brackets that begin again."""
+    nth = F.row_number().over(tree.W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows, key = read(spark, sf_dir, "lineitem").withColumn("r", nth), F.col("l_partkey").cast("string")
+    titles = F.array(F.concat("r", F.lit(". Part "), key), F.concat(F.lit("A. Price of "), key), F.concat(F.lit("(1) Tax of "), key), F.concat(F.lit("About "), key))
+    heads = rows.select(F.col("l_orderkey").alias("doc_id"), "r", F.posexplode(titles).alias("i", "title"))
+    return layout.heading_levels(heads.select("doc_id", (F.col("r") * 4 + F.col("i")).cast("int").alias("n"), "title"))
 
 
 # ---- from blocks to documents ---------------------------------------------------------------

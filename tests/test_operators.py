@@ -219,7 +219,7 @@ LEVELS = [
     (["H. h", "I. i", "J. j"], [1, 1, 1], "low low low"),  # but after H it is the next letter
     (["I. i", "A. a", "II. ii", "B. b"], [1, 2, 1, 2], "low low low low"),  # no restart: kinds rank by their first member
     (["A. a", "A.1 b", "A.2 c", "Section 1 d"], [1, 2, 2, 1], None),
-    (["2.1 a", "1) b", "(a) c", "1) d", "(a) e"], [2, 3, 4, 3, 4], None),
+    (["2.1 a", "1) b", "2) c", "(a) d", "(b) e"], [2, 3, 3, 4, 4], "high low low low low"),
     (["Plain", "", "other"], [None, None, None], "none none none"),
 ]
 
