@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.functions import text
-from leafline.operators import evaluate, index, outline, tree
+from leafline.operators import evaluate, index, outline, session, tree
 from leafline.plans import judge
 from leafline.queries import _RECORD_SQL, _STATE_SQL, ASKED, CHAIN_SQL, TREE_SQL, _folder_of, _records, _states, query, read, terms_sql
 from leafline.store import drop_at_exit, folder
@@ -347,3 +347,42 @@ def baselines(spark, sf_dir):
     label, grounded = F.when(F.col("toxic") == 1, "insufficient").otherwise("sufficient"), F.when(F.col("quality") == 1, "grounded")
     forced = read(spark, sf_dir, "labels").select(label.alias("label"), (F.col("toxic") == 1).alias("passed"), grounded.alias("grounding_status"))
     return evaluate.baselines(main, docs.select(F.lit("A").alias("set"), rank.alias("rank")), frontier, forced)
+
+
+# ---- sessions as markdown: an order's lines as regions, every third a heading, the next its text, the next a figure --------
+
+_PIN_SQL = "'```pin' || chr(10) || 'id: ' || {0} || chr(10) || 'kind: {1}' || chr(10) || 'doc: ' || doc_id || chr(10) || {2} || 'page: ' || (page + 1) || chr(10) || 'bbox: ' || box || chr(10) || {3} || 'scale: 2.0' || chr(10) || '```' || chr(10)"
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, l_partkey AS p FROM lineitem),
+    x AS (SELECT doc_id, r, p, r // 4 AS page, (r - 1) // 3 AS section, (r - 1) % 3 AS k, (10 * r)::DOUBLE || ', ' || r::DOUBLE || ', ' || (10 * r + 5.5)::DOUBLE || ', ' || (r + 2)::DOUBLE AS sides, 1 + r % 2 AS level FROM l),
+    y AS (SELECT *, '[' || sides || ']' AS box FROM x),
+    b AS (SELECT doc_id, section, 'regions: [[' || (page + 1) || ', ' || sides || ']]' || chr(10) AS regions FROM y WHERE k = 1),
+    h AS (SELECT y.doc_id, r, """
+    + "repeat('#', level::INTEGER) || ' Part ' || r || ' of ' || p || chr(10) || chr(10) || "
+    + _PIN_SQL.format("'part-' || r || '-of-' || p", "section", "''", "coalesce(regions, '')")
+    + """ AS t FROM y LEFT JOIN b USING (doc_id, section) WHERE k = 0
+      UNION ALL SELECT doc_id, r, 'About ' || p || chr(10) FROM y WHERE k = 1
+      UNION ALL SELECT doc_id, r, repeat('#', (2 + r % 2)::INTEGER) || ' Figure ' || r || ' with ' || p || chr(10) || chr(10) || """
+    + _PIN_SQL.format("'figure-' || r || '-with-' || p", "asset", "'asset: fig_' || r || chr(10) || 'type: figure' || chr(10)", "'image: /assets/' || doc_id || '/' || r || '.png' || chr(10)")
+    + """ || chr(10) || '![figure ' || r || '](/assets/' || doc_id || '/' || r || '.png)' || chr(10) || chr(10) || 'Figure ' || r || ' with ' || p || chr(10) FROM y WHERE k = 2)
+    SELECT doc_id, string_agg(t, chr(10) ORDER BY r) AS markdown FROM h GROUP BY doc_id"""
+)
+def session_pages(spark, sf_dir):
+    own = F.row_number().over(tree.W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), own.alias("region_no"), "l_partkey")
+    r, part, k = F.col("region_no"), F.col("l_partkey"), (F.col("region_no") - 1) % 3
+    regions = lines.select(
+        "doc_id", "region_no", F.when(k == 0, "paragraph_title").when(k == 1, "text").otherwise("figure").alias("type"),
+        F.when(k == 0, F.concat(F.lit("Part "), r, F.lit(" of "), part)).when(k == 1, F.concat(F.lit("About "), part)).alias("text"),
+        F.floor(r / 4).cast("int").alias("page"), (10.0 * r).alias("x0"), (1.0 * r).alias("y0"), (10 * r + 5.5).alias("x1"), (r + 2.0).alias("y1"),
+        F.when(k == 0, 1 + r % 2).alias("level"),
+    )
+    none = F.lit(None).cast("string")
+    assets = lines.where(k == 2).select(
+        "doc_id", "region_no", F.concat(F.lit("fig_"), r).alias("asset_id"), F.lit("figure").alias("type"), r.alias("number"),
+        F.concat(F.lit("Figure "), r, F.lit(" with "), part).alias("caption"), F.concat(F.lit("crops/"), r, F.lit(".png")).alias("image"),
+        none.alias("description"), none.alias("table_markdown"), F.lit(False).alias("is_icon"),
+    )
+    return session.session_markdown(regions, assets)
