@@ -191,7 +191,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; columns and their order are those of docs."""
+    """docs without the contaminated rows; columns and their order are those of docs.
+
+    Null and empty texts have no words and stay, repeated rows all stay or all go, an empty benchmark drops none and an empty table stays
+    empty. Any column names may be there but those that begin with __leafline.
+    """
     dirty = contamination(docs, benchmark).where("contaminated").select(*decision_key()).distinct()
     return unkeyed(keyed(docs).join(dirty, KEY, "left_anti"), docs)
 

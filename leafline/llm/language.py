@@ -195,7 +195,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose language is rejected; columns and their order are those of docs."""
+    """docs without the rows whose language is rejected; columns and their order are those of docs.
+
+    Null and empty texts and those without a letter are rejected, repeated rows all stay or all go; where nothing was learned all go. An empty
+    table stays empty. Any column names may be there but __leafline_lang.
+    """
     judged = docs.withColumn("__leafline_lang", predictor(model)(F.col("text")))
     return unkeyed(judged.where(~F.col("__leafline_lang.rejected")), docs)
 

@@ -156,7 +156,8 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate group: that of the least doc_id.
 
     Rows with equal doc_id and text count as one row. In a group of only null doc_ids,
-    one of the least text_key stays. Columns and their order are those of docs.
+    one of the least text_key stays. Columns and their order are those of docs, and any names may be there but those that begin with __leafline.
+    Null, empty and blank texts are one group; an empty table stays empty.
     """
     found = near_duplicates(docs, text)
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key", "fp")

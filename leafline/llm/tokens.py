@@ -190,7 +190,10 @@ def id_matrix(rows: list, length: int = LENGTH) -> np.ndarray:
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Writes the sequences as Parquet files, each an id matrix with its segments."""
+    """Writes the sequences as Parquet files, each an id matrix with its segments.
+
+    Rows are written as pack made them, repeated ones too; a table without rows gives files without rows. A path that is there is an error.
+    """
     packed.write.parquet(path)
 
 

@@ -413,16 +413,146 @@ def test_first_split_is_the_best(spark):
         assert quality.grow(rows, labels).feature[0, 0] == plain_stump(rows, labels) == f
 
 
+def plain_ngrams(text):
+    """Hashed counts of one to three letters, one character at a time."""
+    kept, mask = [], 0xFFFFFFFF
+    for c in (text or "").lower():
+        if c.isalpha():
+            kept.append(ord(c))
+        elif not kept or kept[-1] != 32:
+            kept.append(32)
+    counts = collections.Counter()
+    for i, code in enumerate(kept):
+        h = code * 2654435761 & mask
+        grams = [(1, h)]
+        if i + 1 < len(kept):
+            h ^= kept[i + 1] * 2246822519 & mask
+            grams.append((2, h))
+        if i + 2 < len(kept):
+            h ^= kept[i + 2] * 3266489917 & mask
+            grams.append((3, h))
+        for n, g in grams:
+            g = (g + n * 374761393 & mask) * 668265263 & mask
+            g ^= g >> 15
+            counts[(g * 2654435761 & mask) >> 20] += 1
+    return counts if any(chr(c).isalpha() for c in kept) else None
+
+
 def test_nearest_centroid_against_plain_cosines(spark):
     rng = random.Random(4)
-    parts = {"aa": "ka lo mi tu".split(), "bb": "sch ung ein ich".split()}
-    rows = []
-    for i in range(80):
-        lang = list(parts)[i % 2]
-        rows.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(12)), lang))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.fit(docs, F.lit(True))
-    for _, text, _ in rows[:20]:
-        v = np.asarray(language.ngram_counts(text), dtype=float).ravel()
-        assert v.sum() > 0
-    assert [p[0] for p in model.predict([t for _, t, _ in rows])] == [lang for _, _, lang in rows]
+    parts = {"aa": "ka lo mi tu".split(), "bb": "sch ung ein ich é".split(), "cc": "xo zy qua".split()}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(2, 40)), lang) for i in range(120) for lang in [list(parts)[i % 3]]]
+    rows += [(200, "12 34", "aa"), (201, None, "bb"), (202, text("aa", 9), None)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+
+    learned = [(plain_ngrams(t), lang) for _, t, lang in rows if lang and plain_ngrams(t)]
+    seen = collections.Counter(g for counts, _ in learned for g in counts)
+    idf = [np.log((1 + len(learned)) / (1 + seen[g])) + 1 for g in range(language.DIMENSIONS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+
+    def vector(counts):
+        v = np.zeros(language.DIMENSIONS)
+        for g, n in counts.items():
+            v[g] = np.log1p(n) * idf[g]
+        return v / np.sqrt(sum(x * x for x in v))
+
+    nearest = collections.defaultdict(list)  # each centroid against the texts of its language that are nearest to it
+    for counts, lang in learned:
+        v = vector(counts)
+        own = [j for j, name in enumerate(model.languages) if name == lang]
+        nearest[max(own, key=lambda j: v @ model.centroids[j])].append(v)
+    for j, centroid in enumerate(model.centroids):
+        mean = np.mean(nearest[j], axis=0)
+        assert np.allclose(centroid, mean / np.linalg.norm(mean), atol=0.02)
+        assert np.isclose(model.floors[j], language.MARGIN * np.quantile([v @ centroid for v in nearest[j]], language.QUANTILE), atol=1e-4)
+
+    asked = [t for _, t, _ in rows] + [text(lang, n) for lang in parts for n in (1, 5, 60)] + ["wwww vvvv", "日本語", "ä", "", "a" * 3000]
+    for t, (lang, score, rejected) in zip(asked, model.predict(asked), strict=True):
+        counts = plain_ngrams(t)
+        if counts is None:
+            assert (lang, score, rejected) == (language.UNDETERMINED, 0.0, True)
+            continue
+        cosines, n = [float(vector(counts) @ c) for c in model.centroids], sum(counts.values())
+        best = int(np.argmax(cosines))
+        floor = model.floors[best] * n / (n + language.SHORT)
+        assert abs(score - min(1, max(0, cosines[best]))) < 1e-5
+        assert lang == model.languages[best] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-5
+        assert rejected == (cosines[best] < floor) or abs(cosines[best] - floor) < 1e-5
+
+
+def test_first_tree_against_all_splits():
+    """Every split and every leaf of the first tree, each found by trying all of them."""
+    rng = np.random.default_rng(8)
+    rows = np.round(rng.normal(size=(700, 3)), 1)
+    labels = ((rows[:, 0] > 0) ^ (rows[:, 1] > 0.5)).astype(float)
+    forest = quality.grow(rows, labels)
+    p = labels.mean()
+    gradient, hessian = labels - p, np.full(len(rows), p * (1 - p))
+    gain = lambda g, h: g * g / (h + quality.RIDGE)
+    edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for f in range(3)]
+    inside, split = {0: np.ones(len(rows), bool)}, 0
+    for node in range(2**quality.DEPTH - 1):
+        at, best = inside[node], (1e-9, 0, np.inf)
+        for f in range(3):
+            for e in edges[f]:
+                low = at & (rows[:, f] <= e)
+                high = at & ~low
+                if min(hessian[low].sum(), hessian[high].sum()) >= quality.LEAST_HESSIAN:
+                    g = gain(gradient[low].sum(), hessian[low].sum()) + gain(gradient[high].sum(), hessian[high].sum()) - gain(gradient[at].sum(), hessian[at].sum())
+                    best = max(best, (g, f, e), key=lambda b: round(b[0], 9))
+        f, e = forest.feature[0, node], forest.threshold[0, node]
+        assert (f, e) == best[1:]
+        split += e < np.inf
+        inside[2 * node + 1], inside[2 * node + 2] = at & ~(rows[:, f] > e), at & (rows[:, f] > e)
+    assert split >= 3
+    for leaf in range(2**quality.DEPTH):
+        at = inside[leaf + 2**quality.DEPTH - 1]
+        assert np.isclose(forest.value[0, leaf], quality.RATE * gradient[at].sum() / (hessian[at].sum() + quality.RIDGE))
+
+
+def test_packed_files(spark, odd, none, tmp_path):
+    packed = tokens.pack(odd)
+    tokens.write_packed(packed, f"{tmp_path}/packed")
+    back = spark.read.parquet(f"{tmp_path}/packed")
+    assert sorted(map(str, back.collect())) == sorted(map(str, packed.collect())) and back.columns == packed.columns
+    assert tokens.id_matrix(back.collect()).shape == (back.count(), tokens.LENGTH)
+    tokens.write_packed(tokens.pack(none), f"{tmp_path}/none")
+    assert spark.read.parquet(f"{tmp_path}/none").collect() == []
+    with pytest.raises(Exception, match="already exists"):
+        tokens.write_packed(packed, f"{tmp_path}/packed")
+
+
+def test_values_of_odd_rows(spark, tables):
+    """What the queries say about nulls, blanks, repeats and long texts, row by row."""
+    import zlib
+
+    from leafline.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
+    by = lambda values: sorted(map(str, values))
+    run = lambda name: QUERIES[name](spark, tables).collect()
+    fps = [(d.doc_id, plain_simhash(d.text)) for d in docs]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i][1] ^ fps[j][1]).bit_count() <= 2]
+    of = groups(len(fps), links)
+    least = {g: min((fps[i][0] for i in range(len(fps)) if of[i] == g and fps[i][0] is not None), default=None) for g in of}
+    assert by((r.doc_id, r.fingerprint, r.component_id) for r in run("op1_simhash_dedup")) == by((i, f"{fp:016x}", least[g]) for (i, fp), g in zip(fps, of, strict=True))
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    assert by((r.doc_id, r.lang_pred == "und") for r in run("op2_language_id")) == by((d.doc_id, not letters(d.text)) for d in docs)
+    scored = run("op4_quality")
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in scored)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    assert by((r.doc_id, r.held_out) for r in scored) == by((d.doc_id, held(d.doc_id)) for d in docs)
+    size = lambda t: len((t or "").encode().split())
+    whole = collections.Counter()
+    for d in docs:
+        whole[d.source] += size(d.text)
+    assert by((r.doc_id, r.size, r.source_size) for r in run("op7_mix_sources")) == by((d.doc_id, size(d.text), whole[d.source]) for d in docs)
+    assert {(r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in run("op8_pii")} == {(0, 0, 0, 0, "")}
+    sharded = run("op10_shard_bytes")
+    data = lambda t: (t or "").encode()
+    assert by((r.doc_id, r.size, r.text_crc32) for r in sharded) == by((d.doc_id, len(data(d.text)) + 1, zlib.crc32(data(d.text))) for d in docs)
+    slots = collections.defaultdict(list)
+    for r in sharded:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
