@@ -198,9 +198,13 @@ def block_text(x: str | Column) -> Column:
     return squeeze(F.regexp_replace(t, r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2"))
 
 
+# Fixed value: how a text names a figure or a table.
+MENTION = r"(?i)\b(fig(?:ure)?|tab(?:le)?)s?\.?[ \t]*([0-9]+)"
+
+
 def figure_mentions(x: str | Column) -> Column:
     """array<struct<kind, number>> of figures and tables that the text names."""
-    pattern = r"(?i)\b(fig(?:ure)?|tab(?:le)?)s?\.?[ \t]*([0-9]+)"
+    pattern = MENTION
     kinds = F.transform(
         F.regexp_extract_all(_col(x), F.lit(pattern), F.lit(1)),
         lambda k: F.when(F.lower(k).startswith("f"), F.lit("figure")).otherwise(F.lit("table")),
