@@ -310,3 +310,18 @@ def questions_fingerprint(x: str | Column) -> Column:
 def judgement_key(questions: str | Column, version: str | Column, prompt_version: int) -> Column:
     """What a stored judgement depends on: the set's own version, the prompt's, and the set's content."""
     return F.concat(F.lit("v"), _col(version), F.lit(f"|p{prompt_version}|q"), questions_fingerprint(questions))
+
+
+# The labels of a recorded answer, in capitals at the start of a line.
+RECORDED = ["SHORT_ANSWER", "RECOMMENDED_ACTION", "RATIONALE", "LIMITATIONS", "EVIDENCE_SUFFICIENT", "STILL_NEEDED"]
+
+
+def recorded_answer(x: str | Column) -> Column:
+    """struct of a recorded answer's sections, each up to the next label that starts a line, the last of a label; null where it has none."""
+    label = "|".join(RECORDED)
+
+    def section(name: str) -> Column:
+        found = F.regexp_extract_all(F.coalesce(_col(x), F.lit("")), F.lit(rf"(?ms)^{name}:[ \t]*(.*?)(?=^(?:{label}):|\z)"), F.lit(1))
+        return strip(F.get(found, F.size(found) - 1)).alias(name.lower())
+
+    return F.struct(*[section(name) for name in RECORDED])

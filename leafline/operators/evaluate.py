@@ -160,19 +160,21 @@ def totals(calls: DataFrame) -> DataFrame:
 def derange(queries: DataFrame, order: str = "pos") -> DataFrame:
     """(id, donor): for each query the next in cyclic order whose retrieved set lacks its gold, the next one if none does.
 
-    queries are (id, pos, gold, retrieved array). A query meets only the donors that hold its gold: the steps to those are
-    counted from 1, and the first step that is missing among them is taken.
+    queries are (id, pos, gold, retrieved array). The holders of a gold are cut into stretches without a gap, and only where a stretch that
+    begins right behind a query ends matters; so a query meets one stretch of its gold, not its holders. A query that holds its own gold
+    may stand within a stretch, which is then followed past it.
     """
     known = stored(before(queries, [], [F.col(order), F.col("id")], F.lit(1), "i"))
     size = known.count()
-    holders = known.select(F.explode(F.array_distinct("retrieved")).alias("gold"), F.col("i").alias("j"))
-    spoiled = known.select("id", "i", "gold").join(holders, "gold").where("i != j")
-    spoiled = spoiled.select("id", "i", F.pmod(F.col("j") - F.col("i"), F.lit(size)).alias("step"))
-    nth = F.row_number().over(W.partitionBy("i").orderBy("step"))
-    run = spoiled.withColumn("nth", nth).where("nth = step").groupBy("i").agg(F.max("step").alias("run"))
-    first = F.coalesce(F.col("run") + 1, F.lit(1))
-    step = F.when(first < size, first).otherwise(1)
-    places = known.join(run, "i", "left").select("id", F.pmod(F.col("i") + step, F.lit(size)).alias("j"))
+    once = known.select(F.explode(F.array_distinct("retrieved")).alias("gold"), F.col("i").alias("j"))
+    wanted = known.select("gold").distinct()
+    twice = once.join(wanted, "gold", "left_semi").select("gold", F.explode(F.array(F.col("j"), F.col("j") + size)).alias("j"))  # around the end
+    nth = before(twice, ["gold"], [F.col("j")], F.lit(1), "nth")
+    stretches = nth.groupBy("gold", (F.col("j") - F.col("nth")).alias("g")).agg(F.min("j").alias("low"), F.max("j").alias("high"))
+    inside = nth.select("gold", "j", (F.col("j") - F.col("nth")).alias("g")).join(stretches, ["gold", "g"]).select("gold", F.col("j").alias("next"), "high")
+    asked = known.select("id", "i", "gold", (F.col("i") + 1).alias("next"))
+    run = asked.join(inside, ["gold", "next"], "left").select("id", "i", F.coalesce(F.col("high") + 1 - F.col("i"), F.lit(1)).alias("step"))
+    places = run.select("id", F.pmod(F.col("i") + F.when(F.col("step") < size, F.col("step")).otherwise(1), F.lit(size)).alias("j"))
     return places.join(known.select(F.col("i").alias("j"), F.col("id").alias("donor")), "j").where("id != donor").select("id", "donor")
 
 
@@ -224,23 +226,31 @@ def last_status(events: DataFrame, key: list[str], order: list[str], status: str
 
 
 def best_sentences(chunks: DataFrame, answers: DataFrame, most: int = 3) -> DataFrame:
-    """(answer_id, doc_id, sentence_no, score): sentences that share numbers (4 each) and words (1 each) with an
-    answer, 2 more if they have a digit; answers are a stated, short list."""
+    """(answer_id, doc_id, sentence_no, score): a document's sentences that share numbers (4 each) and words (1 each) with an
+    answer, 2 more if they have a digit; the best ``most``, ties to the first.
+
+    Sentences meet answers through what they share. Any other sentence with a digit scores 2 for every answer, so
+    of those only a document's first ``most`` can be among the best, and only they meet all answers.
+    """
     from leafline.functions.text import key_words, numbers, sentences
 
+    def parts(nums: Column, words: Column) -> Column:
+        told = lambda kind, weight: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("part"), F.lit(weight).alias("weight"))
+        return F.concat(F.transform(F.array_distinct(nums), told("n", 4)), F.transform(F.array_distinct(words), told("w", 1)))
+
+    place = ["doc_id", "sentence_no"]
     split = chunks.select("doc_id", F.posexplode(sentences("text")).alias("sentence_no", "sentence"))
-    found = split.select("doc_id", "sentence_no", numbers("sentence").alias("nums"), key_words("sentence").alias("words"), F.col("sentence").rlike("[0-9]").alias("digit"))
-    asked = answers.select("answer_id", numbers("answer").alias("a_nums"), key_words("answer").alias("a_words"))
-    pairs = found.crossJoin(F.broadcast(asked))
-    score = 4 * F.size(F.array_intersect("nums", "a_nums")) + F.size(F.array_intersect("words", "a_words")) + F.when(F.col("digit"), 2).otherwise(0)
-    place = W.partitionBy("answer_id", "doc_id").orderBy(F.desc("score"), "sentence_no")
-    return (
-        pairs.select("answer_id", "doc_id", "sentence_no", score.alias("score"))
-        .where("score > 0")
-        .withColumn("__r", F.row_number().over(place))
-        .where(F.col("__r") <= most)
-        .drop("__r")
-    )
+    digit = F.col("sentence").rlike("[0-9]")
+    held = split.select(*place, digit.alias("digit"), F.explode(parts(numbers("sentence"), key_words("sentence"))).alias("p")).select(*place, "digit", "p.*")
+    asked = answers.select("answer_id", F.explode(parts(numbers("answer"), key_words("answer"))).alias("p")).select("answer_id", "p.kind", "p.part")
+    shared = held.join(asked, ["kind", "part"]).groupBy("answer_id", *place, "digit").agg(F.sum("weight").alias("weight"))
+    scored = shared.select("answer_id", *place, (F.col("weight") + F.when(F.col("digit"), 2).otherwise(0)).cast("int").alias("score"))
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("sentence_no"))
+    first = split.where(digit).select(*place).withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+    plain = first.crossJoin(F.broadcast(answers.select("answer_id").distinct())).select("answer_id", *place, F.lit(2).alias("score"))
+    best = scored.unionByName(plain).groupBy("answer_id", *place).agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("answer_id", "doc_id").orderBy(F.desc("score"), "sentence_no"))
+    return best.withColumn("__r", rank).where(F.col("__r") <= most).drop("__r")
 
 
 def sample(rows: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
@@ -339,3 +349,24 @@ def baselines(main: DataFrame, ranks: DataFrame, frontier: DataFrame, forced: Da
         labels,
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def archive_recall(records: DataFrame) -> DataFrame:
+    """One row of an archived baseline's quality: records (gold_retrieved, gold_rank, section_level, n_returned, n_not_verbatim, n_unknown, parse_error, error).
+
+    Records with an error count as failed and nowhere else. at_rank_1 are those with the gold first; section_* are over queries whose gold
+    label is a section's. Shares are null where there is nothing to share.
+    """
+    fine = F.col("error").isNull()
+    hit = fine & F.coalesce("gold_retrieved", F.lit(False))
+    first, section = hit & F.coalesce(F.col("gold_rank") == 1, F.lit(False)), fine & F.coalesce("section_level", F.lit(False))
+    share = lambda c, of: F.round(F.count_if(c) / F.nullif(F.count_if(of), F.lit(0)), 4)
+    of_fine = lambda c: F.when(fine, F.col(c))
+    return records.agg(
+        F.count("*").alias("n"), F.count_if(~fine).alias("failed"), F.count_if(hit).alias("hits"), share(hit, fine).alias("recall"),
+        F.count_if(first).alias("at_rank_1"), share(first, fine).alias("recall_at_1"), F.count_if(section).alias("section_queries"),
+        share(hit & section, section).alias("section_recall"), F.round(F.avg(of_fine("n_returned")), 2).alias("returned_mean"),
+        F.median(of_fine("n_returned")).alias("returned_median"), F.max(of_fine("n_returned")).alias("returned_max"),
+        F.coalesce(F.sum(of_fine("n_not_verbatim")), F.lit(0)).alias("not_verbatim"), F.coalesce(F.sum(of_fine("n_unknown")), F.lit(0)).alias("unknown_ids"),
+        F.count_if(fine & F.coalesce("parse_error", F.lit(False))).alias("parse_errors"),
+    )

@@ -386,3 +386,35 @@ def session_pages(spark, sf_dir):
         none.alias("description"), none.alias("table_markdown"), F.lit(False).alias("is_icon"),
     )
     return session.session_markdown(regions, assets)
+
+
+# ---- recorded answers and an archive's recall ----------------------------------------------------------------------------
+
+
+@query(
+    """SELECT conv_id, turn, 'a: ' || role AS short_answer, CASE WHEN turn % 2 = 0 THEN 'see STILL_NEEDED: x' || chr(10) || 'and ' || conv_id ELSE NULL END AS rationale,
+    't' || turn AS still_needed FROM conversations"""
+)
+def recorded_answers(spark, sf_dir):
+    """Turns as recorded answers; a label within a line is none, and of a label that comes twice the last counts."""
+    even = F.concat(F.lit("RATIONALE: see STILL_NEEDED: x\nand "), "conv_id", F.lit("\n"))
+    said = F.concat(F.lit("SHORT_ANSWER: old\n"), F.when(F.col("turn") % 2 == 0, even).otherwise(F.lit("")), F.lit("SHORT_ANSWER: a: "), "role", F.lit("\nSTILL_NEEDED:\tt"), "turn", F.lit("\n"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.recorded_answer(said).alias("a"))
+    return rows.select("conv_id", "turn", "a.short_answer", "a.rationale", "a.still_needed")
+
+
+@query(
+    """WITH r AS (SELECT doc_id % 17 = 0 AS bad, coalesce(quality = 1, false) AS hit, n_chars % 4 AS rank, doc_id % 3 = 0 AS section, n_chars % 9 AS k FROM documents LEFT JOIN labels USING (doc_id)), f AS (SELECT * FROM r WHERE NOT bad)
+    SELECT (SELECT count(*) FROM r) AS n, (SELECT count(*) FROM r WHERE bad) AS failed, count(*) FILTER (hit) AS hits, round(avg(hit::INTEGER), 4) AS recall, count(*) FILTER (hit AND rank = 1) AS at_rank_1,
+      round(avg((hit AND rank = 1)::INTEGER), 4) AS recall_at_1, count(*) FILTER (section) AS section_queries, round(count(*) FILTER (hit AND section) / count(*) FILTER (section), 4) AS section_recall,
+      round(avg(k), 2) AS returned_mean, median(k) AS returned_median, max(k) AS returned_max, sum(rank)::BIGINT AS not_verbatim, 0::BIGINT AS unknown_ids, count(*) FILTER (k = 5) AS parse_errors FROM f"""
+)
+def archive_recall(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    n = F.col("n_chars")
+    return evaluate.archive_recall(
+        docs.select(
+            F.coalesce(F.col("quality") == 1, F.lit(False)).alias("gold_retrieved"), (n % 4).alias("gold_rank"), (F.col("doc_id") % 3 == 0).alias("section_level"), (n % 9).alias("n_returned"),
+            (n % 4).alias("n_not_verbatim"), F.lit(0).alias("n_unknown"), (n % 9 == 5).alias("parse_error"), F.when(F.col("doc_id") % 17 == 0, "timeout").alias("error"),
+        )
+    )

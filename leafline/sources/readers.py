@@ -63,8 +63,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").schema(MANIFEST_SCHEMA).json(path)
 
 
-def questions(spark: SparkSession, text: str) -> DataFrame:
-    """(question_id, prompt, answer_id, label, facet) of a question set's JSON; empty if it can't be read."""
+def questions(spark: SparkSession, text: str, default: str | None = None) -> DataFrame:
+    """(question_id, prompt, answer_id, label, facet) of a question set's JSON.
+
+    Where it can't be read, those of the default set, if one is given, else none.
+    """
     schema = "question_id string, prompt string, answer_id string, label string, facet string"
     try:
         value = json.loads(text)
@@ -74,6 +77,8 @@ def questions(spark: SparkSession, text: str) -> DataFrame:
             for a in q["answers"]
         ]
     except (ValueError, KeyError, TypeError):
+        if default is not None:
+            return questions(spark, default)
         rows = []
     return spark.createDataFrame(rows, schema)
 
@@ -91,6 +96,14 @@ def label_pins(docs: DataFrame) -> DataFrame:
     return pins.select("doc_id", labels.alias("label"), "pin_id").where("label != ''")
 
 
+def unique_labels(pins: DataFrame) -> DataFrame:
+    """pins (doc_id, label, pin_id) as they are; an error that names them if labels stand on several pins, as a label marks one chunk."""
+    twice = pins.groupBy("label").agg(F.countDistinct("doc_id", "pin_id").alias("n")).where("n > 1").orderBy("label").limit(10).collect()
+    if twice:
+        raise ValueError("labels on several pins: " + ", ".join(r["label"] for r in twice))
+    return pins
+
+
 def narration(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, line_no, line, case_id): log lines (line_no, line) with the case of the result line that follows them.
 

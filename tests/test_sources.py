@@ -44,12 +44,17 @@ def test_question_sets(spark):
     text = json.dumps({"questions": [{"id": "q", "prompt": "p", "answers": [{"id": "a"}, {"id": "b"}]}]})
     assert [r.answer_id for r in readers.questions(spark, text).collect()] == ["a", "b"]
     assert readers.questions(spark, "broken").count() == 0
+    assert [r.answer_id for r in readers.questions(spark, "broken", default=text).collect()] == ["a", "b"]
 
 
 def test_label_pins(spark):
     text = "# A\n```pin\nid: p1\ngolden: [L1, L2]\n```\n# B\n```pin\nid: p2\n```"
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    assert {(r.label, r.pin_id) for r in readers.label_pins(docs).collect()} == {("L1", "p1"), ("L2", "p1")}
+    pins = readers.label_pins(docs)
+    assert {(r.label, r.pin_id) for r in pins.collect()} == {("L1", "p1"), ("L2", "p1")}
+    assert readers.unique_labels(pins).count() == 2
+    with pytest.raises(ValueError, match="several pins: L1"):
+        readers.unique_labels(pins.unionByName(pins.where("label = 'L1'").withColumn("pin_id", F.lit("p2"))))
 
 
 def test_narration(spark):
