@@ -64,8 +64,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _open.paths = outer
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back; the files go with the scratch that is open, else when the driver's Python ends."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes df as Parquet into the shared folder and reads it back; also the path, for whoever knows its last reader.
+
+    Else the files go with the scratch that is open, or when the driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/leafline-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -74,7 +77,12 @@ def stored(df: DataFrame) -> DataFrame:
         drop_at_exit(spark, path)
     else:
         mine.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table of stored_at."""
+    return stored_at(df)[0]
 
 
 def before(df: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
