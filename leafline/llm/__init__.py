@@ -1,5 +1,5 @@
 """Training-data operators over tables of documents.
 
-Nothing else in the library imports this subpackage; it imports nothing of the
-library either, so it can be removed as a whole.
+Nothing else in the library imports this subpackage, so it can be removed as a whole; of
+the library it uses the store of intermediate tables.
 """

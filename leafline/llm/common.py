@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafline.store import folder as shared_folder
+from leafline.store import remove as remove_path
+from leafline.store import scratch, stored, stored_at
+
+__all__ = [
+    "checkpointed", "components", "decision_key", "finite_vectors", "in_bucket", "keyed", "remove_path", "scratch", "shared_folder", "stored", "stored_at", "table",
+    "text_key", "unkeyed", "words",
+]
+
 #: Java and Python pattern of one word: anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,50 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, which driver and executors share.
-
-    Where none is named, one machine (master local) gets a temporary folder; a cluster gets an error, as a folder of
-    the driver's own would be out of its executors' reach.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
-        named = tempfile.mkdtemp(prefix="leafline-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """Writes df as Parquet into the shared folder and reads it back: smaller than a checkpoint, for wide or long tables.
-
-    Also returns the path, to be removed by whoever knows the last reader; else it goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leafline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def remove() -> None:
-        with contextlib.suppress(Exception):  # the session may have ended first
-            remove_path(spark, path)
-
-    atexit.register(remove)
-    return spark.read.parquet(path), path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The table of stored_at."""
-    return stored_at(df)[0]
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared store."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder and returns a frame that reads it.
 
