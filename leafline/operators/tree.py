@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafline.functions.text import slug, strip
+from leafline.functions.text import WHITE, slug, strip
 from leafline.store import before
 
 # What a heading line is, and below what a provenance fence is.
@@ -305,16 +305,23 @@ def section_texts(tree: DataFrame, limit: int = 4000) -> DataFrame:
     "(no content)" if there is none. Lengths are summed along the leaves of each section first, and only the part of a leaf's text that lies within
     the limit is carried to the section, so that no section's whole text is ever gathered.
     """
-    leaf = tree.where("is_leaf").withColumn("piece", F.concat("title", F.lit("\n"), F.coalesce("content", F.lit(""))))
-    pairs = leaf.select("doc_id", F.col("node_seq").alias("leaf"), "piece", F.explode(F.concat(F.array("node_seq"), "ancestors")).alias("node_seq"))
-    ordered = W.partitionBy("doc_id", "node_seq").orderBy("leaf")
-    start = F.coalesce(F.sum(F.length("piece") + 2).over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    more = F.lead("leaf").over(ordered).isNotNull() | (F.col("start") + F.length("piece") > limit)
-    cut = pairs.withColumn("start", start).withColumn("more", more).where(F.col("start") < limit)
-    cut = cut.withColumn("piece", F.substr("piece", F.lit(1), (F.lit(limit) - F.col("start")).cast("int")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "piece"))), lambda p: p["piece"]), "\n\n")
-    below = cut.groupBy("doc_id", "node_seq").agg(joined.alias("below"), F.max_by("more", "leaf").alias("more"))
-    gathered = F.when(F.col("more"), F.col("below")).otherwise(strip(F.coalesce("below", F.lit(""))))  # ends are stripped before the cut
+    piece = F.concat("title", F.lit("\n"), F.coalesce("content", F.lit("")))
+    filled = F.length(F.regexp_replace("piece", f"{WHITE}+$", ""))  # the piece without white space at its end, nothing if it is blank
+    blank = F.length("piece") - F.length(F.regexp_replace("piece", f"^{WHITE}+", ""))
+    leaf = tree.where("is_leaf").withColumn("piece", piece).withColumn("filled", filled).withColumn("blank", blank)
+    pairs = leaf.select("doc_id", F.col("node_seq").alias("leaf"), "piece", "filled", "blank", F.explode(F.concat(F.array("node_seq"), "ancestors")).alias("node_seq"))
+    section = W.partitionBy("doc_id", "node_seq")
+    start = F.coalesce(F.sum(F.length("piece") + 2).over(section.orderBy("leaf").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    some = F.col("filled") > 0
+    # the joined text reads from low to high: without white space at its ends, then cut
+    low, high = F.min(F.when(some, F.col("start") + F.col("blank"))).over(section), F.max(F.when(some, F.col("start") + F.col("filled"))).over(section)
+    placed = pairs.withColumn("start", start).withColumn("low", low).withColumn("high", F.least(high, F.col("low") + limit))
+    first, last = F.greatest("start", "low"), F.least(F.col("start") + F.length("piece") + 2, F.col("high"))
+    part = F.substr(F.concat("piece", F.lit("\n\n")), (first - F.col("start") + 1).cast("int"), (last - first).cast("int"))
+    cut = placed.where(last > first).select("doc_id", "node_seq", "leaf", part.alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "part"))), lambda p: p["part"]), "")
+    below = cut.groupBy("doc_id", "node_seq").agg(joined.alias("below"))
+    gathered = F.coalesce("below", F.lit(""))
     own = F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(gathered)
     text = F.substr(F.when(own == "", F.lit("(no content)")).otherwise(own), F.lit(1), F.lit(limit))
     return tree.select("doc_id", "node_seq", "content").join(below, ["doc_id", "node_seq"], "left").select("doc_id", "node_seq", text.alias("text"))

@@ -3,6 +3,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from leafline.operators import evaluate, index, outline, tree
 from leafline.plans import judge
 
@@ -138,3 +140,16 @@ def test_decoys(spark):
     assert sorted(map(tuple, evaluate.decoys(queries.repartition(3), pool.repartition(4), 4, seed=1).collect())) == sorted(map(tuple, got))
     assert {tuple(r) for r in evaluate.decoys(queries, pool, 4, seed=2).collect()} != {tuple(r) for r in got}
     assert evaluate.decoys(queries.where("id = 0"), pool.where("doc_id < 2"), 9, seed=1).count() == 5  # all that other documents have
+
+
+def test_section_texts_end_between_leaves(spark):
+    """The cut may fall on the blank line between two leaves, and white space before the text is stripped before the cut."""
+    titles = ["A", " ", "B", "C"]
+    for width in range(1, 14):
+        contents = ["", "", "x" * width, "yy"]
+        docs = [(1, 0, None, "top", 1, False, None)] + [(1, i + 1, 0, t, 2, True, c) for i, (t, c) in enumerate(zip(titles[1:], contents[1:], strict=True))]
+        rows = spark.createDataFrame(docs, "doc_id int, node_seq int, parent_seq int, title string, heading_level int, is_leaf boolean, content string")
+        full = tree.with_ancestors(rows.withColumn("synthetic", F.lit(False)))
+        whole = "\n\n".join(f"{t}\n{c}" for t, c in zip(titles[1:], contents[1:], strict=True)).strip(" \t\n")
+        got = {r.node_seq: r.text for r in tree.section_texts(full, 9).collect()}
+        assert got[0] == whole[:9]
