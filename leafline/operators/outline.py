@@ -1,8 +1,9 @@
 """Embedded outlines: a gate that compares them with detected titles, and their trees.
 
 The gate works entry by entry: an entry that wraps all others is taken off, service entries and those without a
-title on the page go, and what is left decides about the outline. An entry and a title are only compared if they share a word
-that one of them needs and lie within a page of each other; nothing pairs all entries with all titles of a document.
+title on the page go, and what is left decides about the outline. A document's titles are an array beside its entries if they are
+few. Of more, an entry and a title are only compared if they share a word that one of them needs and lie within a page of each
+other; nothing pairs all entries with many titles of a document.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafline.functions.text import WHITE, normalise_title
+from leafline.store import stored
 
 # Titles of entries that are no sections, and what an outline of page anchors begins its titles with.
 SERVICE = [
@@ -21,6 +23,8 @@ SERVICE = [
 PAGE_ANCHOR = "page "
 #: Share of the shorter title's words that two titles have in common, in percent.
 OVERLAP = 70
+#: Titles of a document up to which its entries are compared with them as one array.
+FEW = 64
 
 FULL, TITLES_ONLY, REJECT = "full", "titles_only", "reject"
 
@@ -47,6 +51,42 @@ def pruned(entries: DataFrame) -> DataFrame:
     return out.drop("__top", "__n")
 
 
+def _alike(norm: Column, words: Column, title: Column, title_words: Column) -> Column:
+    """Are two titles equal, or share they most of the shorter one's words?"""
+    least = F.least(F.size(words), F.size(title_words))
+    return ((norm == title) & (norm != "")) | ((least > 0) & (100 * F.size(F.array_intersect(words, title_words)) >= OVERLAP * least))
+
+
+def with_hits(entries: DataFrame, titles: DataFrame, tolerance: int = 1, few: int = FEW) -> DataFrame:
+    """entries of pruned with hit: has an entry that is no service one a title, by the rules of matched?
+
+    Entries meet the titles of a document with up to ``few`` of them as one array, so they are dealt by document once and none is
+    repeated; only documents with more go through matched.
+    """
+    large = stored(titles.groupBy("doc_id").agg(F.count("*").alias("k")).where(F.col("k") > few).select("doc_id"))
+    none = large.isEmpty()
+    norm = normalise_title(F.coalesce("title", F.lit("")))
+    known = titles if none else titles.join(large, "doc_id", "left_anti")
+    known = known.select("doc_id", norm.alias("norm"), F.coalesce("page", F.lit(-1)).alias("page")).where("norm != ''")
+    title = F.struct("norm", "page", _words(F.col("norm")).alias("words"))
+    listed = known.groupBy("doc_id").agg(F.collect_list(title).alias("__titles"))
+    page = F.col("page")
+
+    def fits(t: Column) -> Column:
+        near = (page < 0) | (t["page"] < 0) | (F.abs(page - t["page"]) <= tolerance)
+        return near & _alike(F.col("norm"), F.col("__words"), t["norm"], t["words"])
+
+    small = entries if none else entries.join(large, "doc_id", "left_anti")
+    both = small.withColumn("__words", _words(F.col("norm"))).join(listed, "doc_id", "left")
+    hit = ~F.col("__service") & F.coalesce(F.exists("__titles", fits), F.lit(False))
+    out = both.withColumn("hit", hit).drop("__words", "__titles")
+    if none:
+        return out
+    rest = entries.join(large, "doc_id", "left_semi")
+    found = matched(rest.where("NOT __service"), titles.join(large, "doc_id", "left_semi"), tolerance).withColumn("hit", F.lit(True))
+    return out.unionByName(rest.join(found, ["doc_id", "entry_no"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
+
+
 def _keys(rows: DataFrame, name: str, pages: Column) -> DataFrame:
     """rows with a page key of each and their words: as a whole, and as many as must hold one of the common ones."""
     size = F.size("words")
@@ -88,9 +128,7 @@ def matched(entries: DataFrame, titles: DataFrame, tolerance: int = 1) -> DataFr
     one = side(rarest(left, "entry_no").unionByName(equal.drop("size"), allowMissingColumns=True), "entry_no", "a").join(side(every(right), "title_no", "b"), key)
     other = side(every(left), "entry_no", "a").join(side(rarest(right, "title_no"), "title_no", "b"), key)
     pairs = one.select("doc_id", "entry_no", "norm_a", "words_a", "norm_b", "words_b").unionByName(other.select("doc_id", "entry_no", "norm_a", "words_a", "norm_b", "words_b"))
-    least = F.least(F.size("words_a"), F.size("words_b"))
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    fits = ((F.col("norm_a") == F.col("norm_b")) & (F.col("norm_a") != "")) | ((least > 0) & (100 * common >= OVERLAP * least))
+    fits = _alike(*[F.col(c) for c in ("norm_a", "words_a", "norm_b", "words_b")])
     return pairs.where(fits).select("doc_id", "entry_no").distinct()
 
 
@@ -102,9 +140,7 @@ def gate(docs: DataFrame, entries: DataFrame, titles: DataFrame, tolerance: int
     outline, nothing after pruning, page anchors, fewer than half or two of the entries matched, or pages that go back. Entries are ordered
     by entry_no, which a document has once. Documents that docs lacks have no verdict.
     """
-    rows = pruned(entries)
-    hit = matched(rows.where("NOT __service"), titles, tolerance).withColumn("hit", F.lit(True))
-    rows = rows.join(hit, ["doc_id", "entry_no"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    rows = with_hits(pruned(entries), titles, tolerance)
     section, order = ~F.col("__service"), W.partitionBy("doc_id", F.col("hit") & (F.col("page") >= 0)).orderBy("entry_no")
     falls = F.col("hit") & (F.col("page") >= 0) & F.coalesce(F.col("page") < F.lag("page").over(order), F.lit(False))
     per = rows.withColumn("falls", falls).groupBy("doc_id").agg(

@@ -153,3 +153,17 @@ def test_section_texts_end_between_leaves(spark):
         whole = "\n\n".join(f"{t}\n{c}" for t, c in zip(titles[1:], contents[1:], strict=True)).strip(" \t\n")
         got = {r.node_seq: r.text for r in tree.section_texts(full, 9).collect()}
         assert got[0] == whole[:9]
+
+
+def test_hits_by_array_and_by_words(spark):
+    """Documents of few titles and of many give the same hits, and few titles repeat no entry by its words and pages."""
+    rng = random.Random(5)
+    name = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) for _ in range(rng.randint(1, 4)))
+    entries = [(d, i, name(), i % 3, rng.choice([None, -1, *range(9)])) for d in range(6) for i in range(12)]
+    titles = [(d, name(), rng.choice([None, -1, *range(9)])) for d in range(5) for _ in range(3 * d)]
+    rows = outline.pruned(spark.createDataFrame(entries, ENTRY))
+    known = spark.createDataFrame(titles, "doc_id long, title string, page int")
+    told = [{(r.doc_id, r.entry_no): r.hit for r in outline.with_hits(rows, known, few=few).collect()} for few in (0, 5, 64)]
+    assert told[0] == told[1] == told[2] and len(set(told[0].values())) == 2
+    plan = outline.with_hits(rows, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
