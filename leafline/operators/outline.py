@@ -140,13 +140,14 @@ def gate(docs: DataFrame, entries: DataFrame, titles: DataFrame, tolerance: int
     outline, nothing after pruning, page anchors, fewer than half or two of the entries matched, or pages that go back. Entries are ordered
     by entry_no, which a document has once. Documents that docs lacks have no verdict.
     """
-    rows = with_hits(pruned(entries), titles, tolerance)
+    told = with_hits(pruned(entries), titles, tolerance).withColumn("anchor", F.col("norm").startswith(PAGE_ANCHOR))
+    rows = stored(told.drop("norm"))  # read for the verdicts and for what is kept, so that titles are compared once
     section, order = ~F.col("__service"), W.partitionBy("doc_id", F.col("hit") & (F.col("page") >= 0)).orderBy("entry_no")
     falls = F.col("hit") & (F.col("page") >= 0) & F.coalesce(F.col("page") < F.lag("page").over(order), F.lit(False))
     per = rows.withColumn("falls", falls).groupBy("doc_id").agg(
         F.count_if(section).alias("n_entries"),
         F.count_if("hit").alias("n_matched"),
-        F.count_if(section & F.col("norm").startswith(PAGE_ANCHOR)).alias("anchors"),
+        F.count_if(section & F.col("anchor")).alias("anchors"),
         F.max("unwrapped").alias("unwrapped"),
         F.max("n_service").alias("n_service"),
         F.max("falls").alias("falls"),
