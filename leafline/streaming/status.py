@@ -11,8 +11,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -32,37 +31,34 @@ class StatusMachine(StatefulProcessor):
     """Moves a key from mark to mark (ts, event, status)."""
 
     def __init__(self, keys: int, barred: frozenset[tuple[str, str]], lives_ms: int | None) -> None:
-        self.keys, self.barred, self.lives_ms = keys, barred, lives_ms
+        self.barred, self.lives_ms = barred, lives_ms
+        self.told = Row(*[f"k{i}" for i in range(keys)], "status", "marks", "moves", "refused", "expired")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("status", STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        status, at, event, marks, moves, refused = self.state.get() if self.state.exists() else (None, -1, -1, 0, 0, 0)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        status, at, event, marks, moves, refused = self.state.get() or (None, -1, -1, 0, 0, 0)
         known = at
-        for mark in pd.concat(list(rows)).sort_values(["at", "event"])[["at", "event", "status"]].itertuples(index=False):
+        for mark in sorted(((r["at"], r["event"], r["status"]) for r in rows), key=lambda m: m[:2]):
             marks += 1
-            if (mark.at, mark.event) <= (at, event) or mark.status not in STATUSES or (status, mark.status) in self.barred:
+            if mark[:2] <= (at, event) or mark[2] not in STATUSES or (status, mark[2]) in self.barred:
                 refused += 1
                 continue
-            moves += status is not None and status != mark.status
-            status, at, event = mark.status, int(mark.at), int(mark.event)
+            moves += status is not None and status != mark[2]
+            at, event, status = mark
         self.state.update((status, at, event, marks, moves, refused))
         if self.lives_ms is not None and at > known:
             if known >= 0:
                 self.handle.deleteTimer(known + self.lives_ms)
             self.handle.registerTimer(at + self.lives_ms)
-        yield self._row(key, status, marks, moves, refused, False)
+        yield self.told(*key, status, marks, moves, refused, False)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         status, _, _, marks, moves, refused = self.state.get()
         self.state.clear()
-        yield self._row(key, status, marks, moves, refused, True)
-
-    def _row(self, key: tuple, *values: object) -> pd.DataFrame:
-        names = [*[f"k{i}" for i in range(self.keys)], "status", "marks", "moves", "refused", "expired"]
-        return pd.DataFrame({n: [v] for n, v in zip(names, (*key, *values), strict=True)})
+        yield self.told(*key, status, marks, moves, refused, True)
 
     def close(self) -> None:
         pass
@@ -86,7 +82,7 @@ def statuses(
     machine = StatusMachine(len(key), frozenset(barred or []), lives_ms)
     grouped = shaped.withWatermark("seen", late).groupBy(*[f"k{i}" for i in range(len(key))])
     mode = "EventTime" if lives_ms is not None else "None"
-    told = grouped.transformWithStateInPandas(machine, out, outputMode="Update", timeMode=mode)
+    told = grouped.transformWithState(machine, out, outputMode="Update", timeMode=mode)
     return told.withColumnsRenamed({f"k{i}": k for i, k in enumerate(key)})
 
 

@@ -150,3 +150,10 @@ def test_runs_are_guarded_apart(spark, tmp_path):
     got = sorted(map(str, (tuple(r) for r in guard.kept(spark, at).collect())))
     expected = rows[:3] + rows[4:] + [("b", 10, "q"), (None, 3, "n")]
     assert got == sorted(map(str, expected))
+
+
+def test_marks_meet_the_machine_as_rows(spark):
+    """A key costs no pandas frame: marks come and go as rows."""
+    stream = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.col("value").alias("event_id"), F.lit("a").alias("node"), F.lit("kept").alias("status"))
+    plan = status.statuses(stream, ["node"], "ts", "event_id")._jdf.queryExecution().logical().toString()
+    assert "python_row" in plan
