@@ -282,9 +282,24 @@ def answer_sections(spark, sf_dir):
     )
 
 
-@query("SELECT conv_id, turn, [1, 2, conv_id::INTEGER] AS cited FROM conversations")
+#: Turns with their whole text as answers that cite in one way or another, or not at all, and a number of sources from 0 to 4.
+_CITING_SQL = r"""SELECT conv_id, turn, (conv_id + turn) % 5 AS n, coalesce(text, '') || CASE (conv_id + 2 * turn) % 4 WHEN 0 THEN ' see [1] and [2, ' || conv_id || '].' WHEN 1 THEN ' none [' || (turn + 9) || ']'
+  WHEN 2 THEN ' [' || (turn + 1) || chr(10) || ', 12 ,3] and [x, 1] [ 4]' ELSE '' END AS t FROM conversations"""
+_CITED_SQL = rf"""SELECT *, list_transform(flatten(list_transform(regexp_extract_all(t, '\[([0-9]+(?:[ \t\n]*,[ \t\n]*[0-9]+)*)\]', 1), lambda g: string_split(g, ','))),
+  lambda p: trim(p, ' ' || chr(9) || chr(10))::INTEGER) AS cited FROM ({_CITING_SQL})"""
+
+
+def _citing(spark, sf_dir) -> DataFrame:
+    kind, turn = (F.col("conv_id") + 2 * F.col("turn")) % 4, F.col("turn")
+    told = F.when(kind == 0, F.concat(F.lit(" see [1] and [2, "), "conv_id", F.lit("]."))).when(kind == 1, F.concat(F.lit(" none ["), turn + 9, F.lit("]")))
+    told = told.when(kind == 2, F.concat(F.lit(" ["), turn + 1, F.lit("\n, 12 ,3] and [x, 1] [ 4]"))).otherwise(F.lit(""))
+    answer = F.concat(F.coalesce("text", F.lit("")), told)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("conv_id") + turn) % 5).alias("n"), answer.alias("t"))
+
+
+@query(f"SELECT conv_id, turn, cited FROM ({_CITED_SQL})")
 def cited_numbers(spark, sf_dir):
-    return _replies(spark, sf_dir).select("conv_id", "turn", text.cited_numbers("t").alias("cited"))
+    return _citing(spark, sf_dir).select("conv_id", "turn", text.cited_numbers("t").alias("cited"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'insufficient_evidence' ELSE 'grounded' END AS status FROM conversations")

@@ -89,3 +89,13 @@ def test_pair_drift_pairs_all_turns(spark, tmp_path):
             expected[f"{c}-{t}"] = (a == b, round(len(a & b) / len(a | b), 6) if a | b else 1.0, len(a - b))
     got = {r.pair_id: (r.same_set, r.jaccard, r.n_only_a) for r in QUERIES["pair_drift"](spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+TURNS = [(4, 0, "as in [7] and [8,\n9]"), (5, 0, None), (6, 0, "plain [3]"), (7, 0, ""), (8, 1, "[0]"), (9, 1, "[2"), (9, 2, "x")]
+
+
+def test_cited_numbers_reads_the_turns(spark, tmp_path):
+    """Numbers come from the texts themselves, in every form of brackets."""
+    spark.createDataFrame(TURNS, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.cited for r in QUERIES["cited_numbers"](spark, str(tmp_path)).collect()}
+    assert got == {(4, 0): [7, 8, 9, 1, 2, 4], (5, 0): [9], (6, 0): [3, 1, 12, 3], (7, 0): [], (8, 1): [0, 2, 12, 3], (9, 1): [], (9, 2): [11]}
