@@ -302,9 +302,12 @@ def cited_numbers(spark, sf_dir):
     return _citing(spark, sf_dir).select("conv_id", "turn", text.cited_numbers("t").alias("cited"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'insufficient_evidence' ELSE 'grounded' END AS status FROM conversations")
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN n <= 0 THEN 'insufficient_evidence' WHEN len(list_filter(cited, lambda c: c BETWEEN 1 AND n)) > 0 THEN 'grounded'
+    ELSE 'partially_grounded' END AS status FROM ({_CITED_SQL})"""
+)
 def grounding(spark, sf_dir):
-    return _replies(spark, sf_dir).select("conv_id", "turn", text.grounding_status("t", "turn").alias("status"))
+    return _citing(spark, sf_dir).select("conv_id", "turn", text.grounding_status("t", "n").alias("status"))
 
 
 @query("""SELECT p_partkey AS id, p_brand || '-' || p_partkey AS node_id FROM part""")

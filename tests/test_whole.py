@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+from leafline import report_queries  # noqa: F401  they register their queries
 from leafline.functions.text import STOPWORDS
 from leafline.queries import QUERIES
 
@@ -99,3 +100,10 @@ def test_cited_numbers_reads_the_turns(spark, tmp_path):
     spark.createDataFrame(TURNS, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): r.cited for r in QUERIES["cited_numbers"](spark, str(tmp_path)).collect()}
     assert got == {(4, 0): [7, 8, 9, 1, 2, 4], (5, 0): [9], (6, 0): [3, 1, 12, 3], (7, 0): [], (8, 1): [0, 2, 12, 3], (9, 1): [], (9, 2): [11]}
+
+
+def test_grounding_tells_three_statuses(spark, tmp_path):
+    spark.createDataFrame(TURNS, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.status for r in QUERIES["grounding"](spark, str(tmp_path)).collect()}
+    none, some, full = "insufficient_evidence", "partially_grounded", "grounded"
+    assert got == {(4, 0): full, (5, 0): none, (6, 0): full, (7, 0): some, (8, 1): full, (9, 1): none, (9, 2): some}
