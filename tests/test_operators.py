@@ -238,3 +238,10 @@ def test_titles_are_consumed_in_order(spark):
     heads = spark.createDataFrame([(1, 0, "A"), (1, 5, "B"), (1, 9, "A")], "doc_id int, line_idx int, title string")
     given = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (1, 2, "a")], "doc_id int, entry_no int, title string")
     assert {r.line_idx: r.entry_no for r in layout.consume_titles(heads, given).collect()} == {0: 0, 5: None, 9: 2}
+
+
+def test_heading_levels_read_titles_once(spark):
+    """What follows the reading of titles reads its stored result, in each of its branches."""
+    rows = spark.createDataFrame([(1, 0, "1. One"), (1, 1, "A. Part"), (1, 2, "About")], "doc_id int, n int, title string")
+    plan = layout.heading_levels(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "LocalRelation" not in plan and "LogicalRDD" not in plan
