@@ -102,3 +102,25 @@ def test_columns_and_odd_texts(spark):
     assert [out[i].text for i in (1, 2, 3, 4)] == [line, None, "", "short"]
     assert [(out[i].n_lines, out[i].n_removed) for i in (1, 2, 3, 4)] == [(2, 1), (0, 0), (1, 0), (2, 1)]
     assert [out[i].asDict()["__cut"] for i in (1, 2, 3, 4)] == ["a", "b", "c", None]
+
+
+def test_lines_that_share_only_late_couples_are_found(spark):
+    """Edits that spoil each of a long line's first eight couples still leave the pair similar."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    for n in (50, 80):
+        base = [word(4) for _ in range(n)]
+        for at in range(2, n, 5):
+            base[at] = word(12)  # long words come first in the order of couples
+        other = [word(12) if len(w) == 12 else w for w in base]
+        rows = [(0, " ".join(base)), (1, " ".join(other))]
+        expected, pairs = brute(rows)
+        assert pairs == 1 and expected == {(1, 0)}
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {(r.doc_id, r.line_no) for r in lines.similar_lines(docs).collect()} == expected
+
+
+def test_long_lines_lose_no_pairs(spark):
+    rows = made(random.Random(8), 12, 5, 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.line_no) for r in lines.similar_lines(docs).collect()} == brute(rows)[0]
