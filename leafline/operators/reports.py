@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafline.functions.text import key_words, normalise_title, numbers, sentences, strip
+from leafline.functions.text import key_words, normalise_title, numbers, strip
+from leafline.store import stored
 
 # Outcomes that a budget may have cut short, and those that a baseline's rank explains.
 CENSORED = ["deferred", "deferred_judged_relevant"]
 EXPLAINED = ["pruned", "rejected", "deferred"]
 #: Least score of a sentence that settles a citation, and the pages around the cited one that count as near.
 SURE, NEAR = 8, 1
+#: Questions that a chunk meets at once, and runs of letters that a batch keeps in mind.
+ASKED, MOST_RUNS = 2_000, 500_000
 
 
 def capped_by(runs: DataFrame) -> DataFrame:
@@ -67,19 +75,67 @@ def near_page(pages: Column, page: Column, window: int = NEAR) -> Column:
     return F.exists(pages, lambda p: F.abs(p - page) <= window)
 
 
+class _Questions:
+    """Questions as parts, one string for each: what a text's sentences score for them."""
+
+    def __init__(self, asked: str) -> None:
+        listed = [q.split() for q in asked.split("\n")]
+        self.at = {p: i for i, p in enumerate(sorted({p for q in listed for p in q}))}
+        self.lengths = sorted({len(p) for p in self.at})
+        self.weights = np.zeros((len(self.at), len(listed)), np.int32)
+        for n, q in enumerate(listed):
+            for p in q:
+                self.weights[self.at[p], n] = 5 if p[0].isdigit() else 1
+        self.known: dict[str, list[int]] = {}
+
+    def held(self, run: str) -> list[int]:
+        """The parts that lie in a run of letters or of digits and points."""
+        if run not in self.known:
+            if len(self.known) > MOST_RUNS:
+                self.known.clear()
+            cut = {run[i : i + n] for n in self.lengths for i in range(len(run) - n + 1)}
+            self.known[run] = [self.at[c] for c in cut if c in self.at]
+        return self.known[run]
+
+    def best(self, text: str) -> np.ndarray:
+        """For each question the score of the best sentence, the first of those, times 2^32, plus its number."""
+        split = re.split(r"(?<=[.;:])[ \t\n\x0B\f\r]+", text)
+        digit = [2 if re.search("[0-9]", s) else 0 for s in split]
+        found = {(no, p) for no, s in enumerate(split) for run in set(re.findall(r"[a-z]+|[0-9.]+", s)) for p in self.held(run)}
+        scores = np.repeat(np.array(digit, np.int32)[:, None], self.weights.shape[1], axis=1)
+        if found:
+            places = np.array(list(found))
+            np.add.at(scores, places[:, 0], self.weights[places[:, 1]])
+        no = scores.argmax(axis=0)
+        return (scores[no, np.arange(len(no))].astype(np.int64) << 32) + no
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _best_sentences(bodies: pd.Series, asked: pd.Series) -> pd.Series:
+    """_Questions.best of lower-cased texts."""
+    told = {q: _Questions(q) for q in asked.unique()}
+    return pd.Series([told[q].best(b) for b, q in zip(bodies, asked, strict=True)])
+
+
 def sentence_verdicts(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, verdict, chunk_id, score) of asked (id, doc, question, page) among the chunks (doc, chunk_id, pages, body) of its document.
 
     A sentence scores 5 for each number and 1 for each key word of the question that is in it, and 2 for any digit. OK: a sentence
     near the cited page is sure. Otherwise the best one anywhere is WEAK if its chunk is near the page and OFFPAGE if not; NONE
     without any. Ties go to the first chunk and sentence.
+
+    A chunk meets its document's questions in blocks of some ASKED. A part of a question lies within a run of letters or of digits
+    and points; which parts a run holds is looked up once for each run in a batch.
     """
-    held = F.lower("sentence")
-    named = asked.select("id", "doc", "page", numbers("question").alias("nums"), key_words("question").alias("words"))
-    split = chunks.select("doc", "chunk_id", "pages", F.posexplode(sentences("body")).alias("no", "sentence"))
-    hits = lambda found: F.size(F.filter(found, lambda x: F.contains(held, x)))
-    score = 5 * hits(F.col("nums")) + hits(F.col("words")) + F.when(F.col("sentence").rlike("[0-9]"), 2).otherwise(0)
-    both = named.join(split, "doc").withColumn("score", score).where("score > 0").withColumn("near", near_page(F.col("pages"), F.col("page")))
+    parts = F.concat_ws(" ", numbers("question"), key_words("question"))
+    blocks = F.pmod(F.xxhash64("id"), F.lit(1 + asked.count() // ASKED))
+    listed = asked.groupBy("doc", blocks.alias("block")).agg(F.collect_list(F.struct("id", "page", F.coalesce(parts, F.lit("")).alias("parts"))).alias("of"))
+    named = stored(listed.select("doc", "of", F.array_join(F.transform("of", lambda x: x["parts"]), "\n").alias("asked")))
+    met = chunks.where("body IS NOT NULL").select("doc", "chunk_id", "pages", F.lower("body").alias("body")).join(named, "doc")
+    found = met.select("chunk_id", "pages", "of", _best_sentences("body", "asked").alias("found"))
+    each = found.select("chunk_id", "pages", F.explode(F.arrays_zip("of", "found")).alias("x")).select("chunk_id", "pages", "x.of.id", "x.of.page", "x.found")
+    scored = each.select("id", "page", "chunk_id", "pages", F.shiftright("found", 32).cast("int").alias("score"), F.col("found").bitwiseAND(F.lit(0xFFFFFFFF)).alias("no"))
+    both = scored.where("score > 0").withColumn("near", near_page(F.col("pages"), F.col("page")))
     order = F.struct(-F.col("score"), "chunk_id", "no")
     best = both.groupBy("id").agg(
         F.min_by(F.struct("chunk_id", "score", "near"), order).alias("any"),
