@@ -17,6 +17,7 @@ from leafline.functions.text import squeeze
 from leafline.operators.ingest import ICONS, asset_groups
 from leafline.operators.layout import ASSET_TYPES, CAPTION_TYPES, MAX_LEVEL, SCALE
 from leafline.operators.tree import headings
+from leafline.store import stored
 
 #: Characters of a caption that are its heading.
 CAPTION_CHARS = 120
@@ -75,7 +76,7 @@ def _pieces(regions: DataFrame, assets: DataFrame, base: Column) -> DataFrame:
 
     A piece's text holds its lines; the empty line after it counts.
     """
-    own = classed(regions, assets)
+    own = stored(classed(regions, assets))  # every piece reads it
     bbox = _list([_number(F.col(s)) for s in _BOX])
     page = (F.col("page") + 1).cast("string")
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value)
@@ -97,7 +98,7 @@ def _pieces(regions: DataFrame, assets: DataFrame, base: Column) -> DataFrame:
     body = own.where("role = 'body'")
     heads = own.where("role = 'heading'").join(_boxes(body, ["doc_id", "section"]), ["doc_id", "section"], "left")
     held = own.where("role = 'asset'").select("doc_id", "region_no", "page", *_BOX, "section", F.col("section_level").alias("level"))
-    placed = asset_groups(assets.join(held, ["doc_id", "region_no"]).withColumn("n", F.col("region_no")))
+    placed = stored(asset_groups(assets.join(held, ["doc_id", "region_no"]).withColumn("n", F.col("region_no"))))
     # a group's heading stands one level above its members, for icons they have none of their own
     image = F.concat(F.lit("!["), "type", F.lit(" "), "number", F.lit("]("), base, F.lit("/"), F.element_at(F.split("image", "/"), -1), F.lit(")"))
     icons, real = placed.where("is_icon"), placed.where("NOT is_icon")
@@ -142,7 +143,8 @@ def session_markdown(regions: DataFrame, assets: DataFrame, base: str = "/assets
     order = W.partitionBy("doc_id").orderBy("section", "part", "a", "b")
     split = pieces.withColumn("lines", F.split("text", "\n"))
     split = split.withColumn("line_idx", F.coalesce(F.sum(F.size("lines")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    every = split.select("doc_id", F.posexplode("lines").alias("i", "line"), "line_idx").select("doc_id", (F.col("line_idx") + F.col("i")).alias("line_idx"), "line")
+    split = stored(split.select("doc_id", "line_idx", "text", "fields"))  # read three times
+    every = split.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"), "line_idx").select("doc_id", (F.col("line_idx") + F.col("i")).alias("line_idx"), "line")
     named = split.where("fields IS NOT NULL").join(headings(every).select("doc_id", "line_idx", "node_id"), ["doc_id", "line_idx"])
     labels = F.lit(None).cast("string")
     if golden is not None:

@@ -20,3 +20,12 @@ def test_sentence_scores_agree_with_brute_force():
         scores = [sum(5 if p[0].isdigit() else 1 for p in q.split() if p in s) + 2 * any(c.isdigit() for c in s) for s in split]
         expected.append((max(scores), scores.index(max(scores))))
     assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in reports._Questions("\n".join(asked)).best(said)] == expected
+
+
+def test_session_pieces_are_made_once(spark):
+    kind = "doc_id int, region_no int, type string, text string, page int, x0 double, y0 double, x1 double, y1 double, level int"
+    regions = spark.createDataFrame([(1, 1, "paragraph_title", "A", 0, 0.0, 0.0, 1.0, 1.0, 1), (1, 2, "text", "b", 0, 0.0, 1.0, 1.0, 2.0, None)], kind)
+    assets = "doc_id int, region_no int, asset_id string, type string, number int, caption string, image string, description string, table_markdown string, is_icon boolean"
+    out = session.session_markdown(regions, spark.createDataFrame([], assets))
+    assert "LogicalRDD" not in _plan(out) and "LocalRelation" not in _plan(out)
+    assert out.first()["markdown"].startswith("# A\n\n```pin\nid: a\n")
