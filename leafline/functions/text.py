@@ -39,8 +39,7 @@ def first_words(x: str | Column, n: int) -> Column:
 def tokenize(x: str | Column) -> Column:
     """Ranking terms: runs of a-z and 0-9 of the lower-cased text, two characters or more, no stop words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(_col(x), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    stops = F.array(*[F.lit(s) for s in STOPWORDS])
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stops, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))  # a set, where an array would be walked for each word
 
 
 def content_words(x: str | Column) -> Column:
@@ -188,8 +187,7 @@ def numbers(x: str | Column) -> Column:
 def key_words(x: str | Column) -> Column:
     """Distinct lower-case words of three letters or more that are no stop words."""
     found = F.regexp_extract_all(F.lower(_col(x)), F.lit("[a-z]{3,}"), F.lit(0))
-    stops = F.array(*[F.lit(s) for s in STOPWORDS])
-    return F.array_distinct(F.filter(found, lambda w: ~F.array_contains(stops, w)))
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*STOPWORDS)))
 
 
 def block_text(x: str | Column) -> Column:

@@ -47,11 +47,12 @@ def scores(
     marks, tf = tf.where("term = ''"), tf.where("term != ''")
     totals = marks.groupBy(*scope).agg(F.sum("tf").alias("__n"), (F.sum(F.col("__dl") * F.col("tf")) / F.sum("tf")).alias("__avgdl"))
     df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, [*scope, "term"])
+    joined = tf.join(hint(df) if not scope else df, [*scope, "term"])
     joined = joined.join(totals, scope) if scope else joined.crossJoin(F.broadcast(totals))  # one row of totals
     idf = F.log1p((F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("__dl") / F.col("__avgdl")))
-    return joined.join(hint(asked), "term").groupBy("query_id", *own).agg(F.sum(weight * F.col("qn")).alias("score"))
+    weighed = joined.select(*own, "term", weight.alias("__weight"))  # once for each item and term, not for each query that has it
+    return weighed.join(hint(asked), "term").groupBy("query_id", *own).agg(F.sum(F.col("__weight") * F.col("qn")).alias("score"))
 
 
 def ranked(

@@ -11,6 +11,13 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_stop_words_are_a_set(spark):
+    docs = spark.createDataFrame([("the ward and a bed",), (None,)], "t string")
+    for found in (text.tokenize("t"), text.key_words(F.coalesce("t", F.lit("")))):
+        out = docs.select(found.alias("w"))
+        assert "INSET" in _plan(out) and [r.w for r in out.collect()] == [["ward", "bed"], []]
+
+
 def test_sentence_scores_agree_with_brute_force():
     asked = ["12 1.5 beds bed ward", "", "ard 2 the"]
     said = "12 beds. a wards; 1.5: none 112.55 Bed-ward.\nthe rest; .5 2"
