@@ -120,15 +120,13 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 def mentioned(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of docs (doc_id, h) that have at least half of an item's distinct words (item_id, n).
 
-    A document with r of k words has one of any k - r + 1 of them, so documents meet only items of whose rarest
-    words, that many, they have one; rare by the number of documents, which one pass over their words counts.
+    Words are dealt by document once, and what each document shares with an item is counted there. The work is the number of shared
+    words of all pairs, so it grows with the documents for a stated set of items.
     """
-    spread = items.where(F.size("n") > 0).select("item_id", F.size("n").alias("k"), F.explode("n").alias("word"))
-    known = spread.select("word").distinct()
-    hint = F.broadcast if known.count() <= BROADCAST_KEYS else (lambda df: df)
-    seen = docs.select(F.explode(F.array_distinct("h")).alias("word")).join(hint(known), "word").groupBy("word").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "word"))
-    ranked = spread.join(seen, "word", "left").withColumn("nth", nth).where(F.col("nth") <= F.col("k") - F.ceil(F.col("k") / 2) + 1)
-    keys = stored(ranked.where("df IS NOT NULL").select("item_id", "word"))
-    both = _candidates(docs, F.col("h"), keys).join(docs, "doc_id").join(items, "item_id")
-    return both.where(2 * F.size(F.array_intersect("n", "h")) >= F.size("n")).select("doc_id", "item_id")
+    told = items.where(F.size("n") > 0).withColumn("item", F.monotonically_increasing_id())  # before the words are spread
+    spread = stored(told.select("item", "item_id", F.size("n").alias("k"), F.explode("n").alias("word")))
+    hint = F.broadcast if spread.count() <= BROADCAST_KEYS else (lambda df: df)
+    rows = docs.repartition("doc_id").select("doc_id", F.monotonically_increasing_id().alias("row"), "h")  # rows of one doc_id stay apart
+    words = rows.select("doc_id", "row", F.explode(F.array_distinct("h")).alias("word"))
+    shared = words.join(hint(spread), "word").groupBy("doc_id", "row", "item", "item_id", "k").agg(F.count("*").alias("both"))
+    return shared.where(2 * F.col("both") >= F.col("k")).select("doc_id", "item_id")

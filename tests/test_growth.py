@@ -29,6 +29,14 @@ def test_sentence_scores_agree_with_brute_force():
     assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in reports._Questions("\n".join(asked)).best(said)] == expected
 
 
+def test_mentions_read_the_documents_once(spark):
+    docs = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "b"]), (2, ["c"])], "doc_id int, h array<string>")
+    items = spark.createDataFrame([(1, ["a", "x"]), (1, ["a", "b", "c"]), (2, [])], "item_id int, n array<string>")
+    out = matching.mentioned(docs, items)
+    assert _plan(out).count("LogicalRDD") + _plan(out).count("LocalRelation") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 1)] * 4
+
+
 def test_session_pieces_are_made_once(spark):
     kind = "doc_id int, region_no int, type string, text string, page int, x0 double, y0 double, x1 double, y1 double, level int"
     regions = spark.createDataFrame([(1, 1, "paragraph_title", "A", 0, 0.0, 0.0, 1.0, 1.0, 1), (1, 2, "text", "b", 0, 0.0, 1.0, 1.0, 2.0, None)], kind)
