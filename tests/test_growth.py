@@ -37,6 +37,15 @@ def test_mentions_read_the_documents_once(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 1)] * 4
 
 
+def test_forced_answers_move_a_text_once(spark):
+    queries = spark.createDataFrame([(1, "ward beds")], "id int, query string")
+    drawn = spark.createDataFrame([(1, 0, "d", 5)], "id int, nth int, doc_id string, leaf_id int")
+    leaves = spark.createDataFrame([("d", 5, "beds in a ward")], "doc_id string, leaf_id int, text string")
+    out = evaluate.forced_answers(queries, drawn, leaves, judge.lexical_judge())
+    first = next(line for line in _plan(out).splitlines() if "Join" in line)
+    assert "leaf_id" in first and out.first()["n_relevant"] == 1
+
+
 def test_session_pieces_are_made_once(spark):
     kind = "doc_id int, region_no int, type string, text string, page int, x0 double, y0 double, x1 double, y1 double, level int"
     regions = spark.createDataFrame([(1, 1, "paragraph_title", "A", 0, 0.0, 0.0, 1.0, 1.0, 1), (1, 2, "text", "b", 0, 0.0, 1.0, 1.0, 2.0, None)], kind)
