@@ -11,7 +11,7 @@ from leafline.functions import text
 from leafline.operators import evaluate, index, outline, session, tree
 from leafline.plans import judge
 from leafline.queries import _RECORD_SQL, _STATE_SQL, ASKED, CHAIN_SQL, TREE_SQL, _folder_of, _records, _states, query, read, terms_sql
-from leafline.store import drop_at_exit, folder
+from leafline.store import drop_at_exit, folder, stored
 from leafline.streaming import guard, maintain, runlog, status
 
 # ---- pages as documents: every page's title is a heading, and every line set in bold one below ---------------------
@@ -83,7 +83,7 @@ def index_stream(spark, sf_dir):
     """Pages come in two drained rounds: some late, some in an earlier form first, some taken back; the index is as if built once."""
     at = f"{folder(spark)}/leafline-index-{uuid.uuid4().hex}"
     drop_at_exit(spark, at)
-    now = page_docs(spark, sf_dir).select("doc_id", "text", F.lit(False).alias("deleted"))
+    now = stored(page_docs(spark, sf_dir)).select("doc_id", "text", F.lit(False).alias("deleted"))  # pages are parsed once, for both rounds
     shorter = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\n[^\n]*$", "")).otherwise(F.col("text"))
     first = now.where("doc_id % 5 != 1").withColumn("text", shorter).withColumn("version", F.lit(1))
     outdated = now.where("doc_id % 4 = 0").withColumn("text", F.lit("# old")).withColumn("version", F.lit(0))

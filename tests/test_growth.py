@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from leafline import page_queries
 from leafline.functions import text
 from leafline.operators import evaluate, matching, reports, session
 from leafline.plans import judge
@@ -53,3 +54,20 @@ def test_session_pieces_are_made_once(spark):
     out = session.session_markdown(regions, spark.createDataFrame([], assets))
     assert "LogicalRDD" not in _plan(out) and "LocalRelation" not in _plan(out)
     assert out.first()["markdown"].startswith("# A\n\n```pin\nid: a\n")
+
+
+def test_index_stream_parses_a_page_once(spark, monkeypatch):
+    parsed = spark.sparkContext.accumulator(0)
+
+    def parse(t):
+        parsed.add(1)
+        return t
+
+    docs = spark.createDataFrame([(i, f"# p{i}") for i in range(20)], "doc_id long, text string")
+    drained = type("Drained", (), {"awaitTermination": lambda self: True})()
+    rows = "doc_id long, node_seq int, node_id string, parent_seq int, title string, is_leaf boolean, depth int, summary string, content_hash string"
+    monkeypatch.setattr(page_queries, "page_docs", lambda spark, _: docs.withColumn("text", F.udf(parse, "string")("text")))
+    monkeypatch.setattr(page_queries.maintain, "maintain", lambda *_: drained)
+    monkeypatch.setattr(page_queries.maintain.IndexStore, "read", lambda self: spark.createDataFrame([], rows))
+    page_queries.index_stream(spark, "none")
+    assert parsed.value == 20
