@@ -124,3 +124,25 @@ def test_long_lines_lose_no_pairs(spark):
     rows = made(random.Random(8), 12, 5, 150)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.line_no) for r in lines.similar_lines(docs).collect()} == brute(rows)[0]
+
+
+def test_lines_of_one_node_share_no_codes_and_shuffles_go(spark):
+    rows = [(d, "seven plain words make this whole line\nSeven plain, words make this whole line!") for d in range(3)]
+    places = lines.marked_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert places.count() == 6 and lines.shared_codes(places).count() == 0
+    more = places.unionByName(lines.marked_lines(spark.createDataFrame([(9, "seven plain words make this whole lines")], "doc_id long, text string")))
+    assert {r.k for r in lines.shared_codes(more).collect()} == {7}
+    before = spark.conf.get(lines.CLEANUP)
+    with lines._tidy(spark):
+        assert spark.conf.get(lines.CLEANUP) == "true"
+    assert spark.conf.get(lines.CLEANUP) == before
+
+
+def test_strings_tell_words_apart_by_40_bits(spark):
+    docs = spark.createDataFrame([(1, "some words here\nsome other words")] * 2, "doc_id long, text string")
+    at = docs.distinct().selectExpr("explode(array(0, 1)) AS no", "doc_id", "xxhash64(text) AS text_key")
+    own = lines.line_strings(at.selectExpr("CAST(no AS LONG) AS node", "struct(doc_id, text_key, no AS line_no) AS place"), docs).collect()
+    rows = {r.node: r for r in own}
+    assert len(own) == 2 and all(len(r.x) == len(r.y) == r.n == 3 for r in own)
+    for v in ("x", "y"):
+        assert rows[0][v][0] == rows[1][v][0] and rows[0][v][1] == rows[1][v][2] and len(set(rows[0][v] + rows[1][v])) == 4
