@@ -146,3 +146,29 @@ def test_strings_tell_words_apart_by_40_bits(spark):
     assert len(own) == 2 and all(len(r.x) == len(r.y) == r.n == 3 for r in own)
     for v in ("x", "y"):
         assert rows[0][v][0] == rows[1][v][0] and rows[0][v][1] == rows[1][v][2] and len(set(rows[0][v] + rows[1][v])) == 4
+
+
+def test_codes_are_met_in_turns_and_no_group_is_lost(spark):
+    rows = made(random.Random(12), 12, 8, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    places = lines.marked_lines(docs).cache()
+    met = lambda *turn: {(r.code, r.node) for r in lines.shared_codes(places, *turn).collect()}
+    parts = [met(turn, 3) for turn in range(3)]
+    assert all(parts) and sum(map(len, parts)) == len(set().union(*parts)) and set().union(*parts) == met()
+    roots = [{tuple(r) for r in lines.components(lines.similar_links(places, docs, crowd, turns)).collect()} for crowd, turns in ((64, 1), (64, 3), (4, 2))]
+    assert roots[0] and roots[0] == roots[1] == roots[2]
+
+
+def test_only_pairs_still_apart_are_compared_after_the_first(spark, monkeypatch):
+    """Of a family of 20 lines that are all similar, at most 20 of the 190 pairs are compared."""
+    base = "some words of a family that stay in each of these lines".split()
+    rows = [(d, " ".join([*base, "".join(chr(97 + int(x)) for x in str(100 + d))])) for d in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, plain = [], lines.similar
+
+    def counted(pairs, own):
+        seen.append(pairs.count())
+        return plain(pairs, own)
+
+    monkeypatch.setattr(lines, "similar", counted)
+    assert lines.similar_lines(docs).count() == 19 and 0 < sum(seen) <= 20
