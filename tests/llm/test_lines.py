@@ -172,3 +172,14 @@ def test_only_pairs_still_apart_are_compared_after_the_first(spark, monkeypatch)
 
     monkeypatch.setattr(lines, "similar", counted)
     assert lines.similar_lines(docs).count() == 19 and 0 < sum(seen) <= 20
+
+
+def test_codes_go_when_they_have_met_and_many_pairs_are_compared_in_turns(spark, monkeypatch):
+    rows = made(random.Random(13), 6, 6, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone, calls, plain, remove = [], [], lines._similar, lines.remove_path
+    monkeypatch.setattr(lines, "PAIRS_AT_ONCE", 5)
+    monkeypatch.setattr(lines, "_similar", lambda pairs, own: calls.append(1) or plain(pairs, own))
+    monkeypatch.setattr(lines, "remove_path", lambda spark, path: gone.append(path) or remove(spark, path))
+    assert {(r.doc_id, r.line_no) for r in lines.similar_lines(docs).collect()} == brute(rows)[0]
+    assert len(gone) == 1 and len(calls) >= lines.TURNS
