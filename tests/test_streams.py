@@ -157,3 +157,53 @@ def test_marks_meet_the_machine_as_rows(spark):
     stream = spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.col("value").alias("event_id"), F.lit("a").alias("node"), F.lit("kept").alias("status"))
     plan = status.statuses(stream, ["node"], "ts", "event_id")._jdf.queryExecution().logical().toString()
     assert "python_row" in plan
+
+
+def test_keys_of_a_shard_are_told_as_if_alone(spark, tmp_path):
+    """In one shard or in as many as there are keys: the same rows of each batch, and keys of one shard are forgotten each at its own time."""
+    first = [(10, 1, "a", "kept"), (11, 2, "b", "evaluating"), (12, 3, "c", "kept"), (12, 4, "d", None)]
+    more = [[(61, 5, "e", "kept")], [(62, 6, "e", "pruned"), (62, 7, "b", "error")], [(90, 8, "a", "error")], [(500, 9, "g", "kept")]]
+    told = []
+    for shards in (1, 64):
+        updates = drained(spark, f"{tmp_path}/{shards}", [first, *more], late="0 seconds", lives_ms=50_000, shards=shards)
+        told.append(sorted(map(str, (tuple(r) for r in updates.collect()))))
+        gone = {(r.node, r.status, r.marks) for r in updates.where("expired").collect()}
+        assert gone == {("a", "kept", 1), ("a", "error", 1), ("b", "evaluating", 1), ("b", "error", 1), ("c", "kept", 1), ("e", "pruned", 2)}
+    assert told[0] == told[1]
+
+
+def test_a_shard_is_read_and_written_once_a_batch():
+    """However many keys and marks a batch has in a shard, its state is read, written and given a timer once, and keys are told in few rows."""
+    asked = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def update(self, value):
+            asked.append("update")
+            self.value = value
+
+    class Handle:
+        held = Held()
+
+        def getValueState(self, *_):
+            return self.held
+
+        def registerTimer(self, at):
+            asked.append(at)
+
+        def deleteTimer(self, at):
+            asked.append(-at)
+
+    machine = status.StatusMachine(1, frozenset(), 100)
+    machine.init(Handle())
+    rows = [(0, f"n{i % 500}", None, 1000 + i, i, "kept" if i % 2 else "error") for i in range(1500)]
+    told = list(machine.handleInputRows((0,), iter(rows), None))
+    assert asked == ["get", 1100 + 1000, "update"] and len(told) == 1 and sorted(told[0].k0) == sorted({r[1] for r in rows})
+    assert set(told[0].marks) == {3} and set(told[0].status) == {"kept", "error"} and not any(told[0].expired)
+    list(machine.handleInputRows((0,), iter([(0, "n0", None, 5000, 9, "kept")]), None))
+    assert asked[3:] == ["get", -2100, 2101, "update"]
