@@ -183,3 +183,30 @@ def test_codes_go_when_they_have_met_and_many_pairs_are_compared_in_turns(spark,
     monkeypatch.setattr(lines, "remove_path", lambda spark, path: gone.append(path) or remove(spark, path))
     assert {(r.doc_id, r.line_no) for r in lines.similar_lines(docs).collect()} == brute(rows)[0]
     assert len(gone) == 1 and len(calls) >= lines.TURNS
+
+
+def test_rounds_that_would_take_in_little_are_left_out(spark, monkeypatch):
+    """Lines are read for the first pairs and once more for all others; whichever rounds are held, the groups are those of all pairs."""
+    rows = made(random.Random(7), 3, 40, 15)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected, read, plain = brute(rows)[0], [], lines._read
+    monkeypatch.setattr(lines, "_read", lambda *a: read.append(1) or plain(*a))
+    cut = lambda: {(r.doc_id, r.line_no) for r in lines.similar_lines(docs, 4).collect()}
+    assert cut() == expected and len(read) == 2
+    monkeypatch.setattr(lines, "MET_AT_ONCE", -1, raising=False)
+    assert cut() == expected
+
+
+def test_when_all_pairs_are_met_at_once():
+    class Pairs:
+        def __init__(self, n):
+            self.n = n
+
+        def count(self):
+            return self.n
+
+    rows = 10
+    few, many = lambda: Pairs(lines.NEAR_AT_ONCE * rows), lambda: Pairs(lines.NEAR_AT_ONCE * rows + 1)
+    most = lines.MET_AT_ONCE * rows
+    assert lines._at_once(9, None, most, rows, few) and not lines._at_once(9, None, most, rows, many) and not lines._at_once(9, None, most + 1, rows, few)
+    assert lines._at_once(95, 100, most + 1, rows, many) and not lines._at_once(90, 100, most + 1, rows, many)
